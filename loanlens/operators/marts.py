@@ -12,6 +12,7 @@ join into a broadcast only when the runtime size of a roll-up is under
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.aggs import Agg, build_all
@@ -92,9 +93,50 @@ BUREAU_SPEC = [
 # Generic building blocks.
 # ---------------------------------------------------------------------------
 
-def rollup(df: DataFrame, key: str, specs) -> DataFrame:
-    """One row per non-NULL key with the features in ``specs`` (E1 + E2..E9)."""
-    return df.filter(df[key].isNotNull()).groupBy(key).agg(*build_all(specs))
+_DISTINCT = ("nunique", "nunique_small")
+
+
+def distinct_counts(df: DataFrame, key: str, specs) -> DataFrame:
+    """Exact distinct counts of several columns per key in one narrow pass.
+
+    Each row becomes (key, slot, value-as-text) tuples, deduplicated (map-side
+    first, so a hot key with few distinct values shrinks before the shuffle),
+    then counted per key and slot. Only these narrow tuples are shuffled.
+    Keys whose values are all NULL are absent (the caller fills 0).
+    """
+    specs = list(specs)
+    pairs = F.array(*[F.struct(F.lit(i).alias("slot"), F.col(s.col).cast("string").alias("v"))
+                      for i, s in enumerate(specs)])
+    stacked = (df.select(F.col(key), F.inline(pairs))
+                 .filter(F.col("v").isNotNull())
+                 .select(key, "slot", "v").distinct())
+    return stacked.groupBy(key).agg(*[F.count_if(F.col("slot") == i).alias(s.out)
+                                      for i, s in enumerate(specs)])
+
+
+def rollup(df: DataFrame, key: str, specs, distinct: str = "separate") -> DataFrame:
+    """One row per non-NULL key with the features in ``specs`` (E1 + E2..E9).
+
+    ``distinct="separate"`` computes the distinct counts in their own narrow
+    pass (:func:`distinct_counts`) and joins them on the key -- both sides come
+    out hash-partitioned on the key, so the join adds no exchange. The main
+    aggregate then stays a plain partial/final hash aggregate. ``"native"``
+    leaves them to Spark's distinct-aggregate rewrite, which shuffles every
+    aggregate buffer keyed by (key, distinct value).
+    """
+    df = df.filter(F.col(key).isNotNull())
+    specs = list(specs)
+    dspecs = [s for s in specs if s.fn in _DISTINCT]
+    if distinct == "native" or not dspecs:
+        return df.groupBy(key).agg(*build_all(specs))
+    others = [s for s in specs if s.fn not in _DISTINCT]
+    if others:
+        main = df.groupBy(key).agg(*build_all(others))
+    else:
+        main = df.select(key).distinct()
+    out = main.join(distinct_counts(df, key, dspecs), on=key, how="left")
+    out = out.withColumns({s.out: F.coalesce(F.col(s.out), F.lit(0).cast("long")) for s in dspecs})
+    return out.select(key, *[s.out for s in specs])
 
 
 def left_join_chain(base: DataFrame, key: str, rollups) -> DataFrame:

@@ -55,14 +55,19 @@ def skew_selected(skewness: Column, threshold: float) -> Column:
 
 
 def log_transform_skewed(df: DataFrame, threshold=C.SKEW_THRESHOLD, exclude=None,
-                         shift=C.SKEW_SHIFT, columns=None) -> DataFrame:
+                         shift=C.SKEW_SHIFT, columns=None, materialize: bool = False) -> DataFrame:
     """Batch G1: log-transform every candidate column with abs(skewness) > threshold.
 
     Candidate columns come out as double; a NULL result keeps the old value.
+    ``materialize`` checkpoints ``df`` first (use it when ``df`` is an expensive
+    plan such as the joined mart: statistics and rows then read it once).
     """
     cols = candidate_columns(df, exclude, columns)
     if not cols:
         return df
+    if materialize:
+        from ..session import materialize as _mat
+        df = _mat(df)
     tmp = "__skew_stats"
     out = X.attach_scalar(df, tmp, df.agg(_stats_struct(cols).alias("st")))
     new = {}

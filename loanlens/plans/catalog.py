@@ -34,8 +34,16 @@ R = 6
 TIE_SHIFT = 1.3e-9
 
 
+_TABLES: dict = {}
+
+
 def tbl(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d.rstrip('/')}/{name}.parquet")
+    """Parquet table (the scan relation is reused per session and path; no data is cached)."""
+    path = f"{d.rstrip('/')}/{name}.parquet"
+    k = (id(spark), path)
+    if k not in _TABLES:
+        _TABLES[k] = spark.read.parquet(path)
+    return _TABLES[k]
 
 
 def day_rel(c) -> "F.Column":
@@ -456,7 +464,8 @@ def wide_mart_unskewed(spark, d) -> DataFrame:
 
 
 def q_wide_mart(spark, d):
-    return rnd_doubles(SK.log_transform_skewed(wide_mart_unskewed(spark, d), exclude=WIDE_EXCLUDE))
+    return rnd_doubles(SK.log_transform_skewed(wide_mart_unskewed(spark, d), exclude=WIDE_EXCLUDE,
+                                               materialize=True))
 
 
 def _sql_wide_mart() -> str:

@@ -32,7 +32,8 @@ def build_features(bundle: dict[str, DataFrame], *, skew: bool = True,
                               bundle["pos_cash_balance"], bureau)
     feats = FE.feature_engineering(merged)
     if skew:
-        feats = SK.log_transform_skewed(feats, threshold=threshold, exclude=skew_exclude)
+        feats = SK.log_transform_skewed(feats, threshold=threshold, exclude=skew_exclude,
+                                        materialize=True)
     return feats
 
 

@@ -17,6 +17,7 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
@@ -77,3 +78,11 @@ def _count():
 
 
 _counter = _count()
+
+
+def materialize(df):
+    """Compute ``df`` once and cut its lineage: a reliable checkpoint in the
+    shared checkpoint folder (survives executor loss, unlike a local or cached
+    copy). Use before a frame is read twice, e.g. statistics + rows."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
