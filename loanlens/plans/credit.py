@@ -20,16 +20,24 @@ from ..operators import skew as SK
 from ..sources import io as IO
 
 
-def build_features(bundle: dict[str, DataFrame], *, skew: bool = True,
-                   skew_exclude=C.SKEW_EXCLUDE, threshold=C.SKEW_THRESHOLD) -> DataFrame:
-    """the seven tables -> one feature row per application."""
-    app = CL.clean_application(bundle["application_train"])
+def child_rollups(bundle: dict[str, DataFrame], *,
+                  threshold=C.SKEW_THRESHOLD) -> list[DataFrame]:
+    """The five per-applicant roll-ups (F8 - F12 with their cleaning steps),
+    in join order. Each is unique on the applicant key."""
     prev = CL.clean_previous_application(bundle["previous_application"])
     inst = CL.clean_installments(bundle["installments_payments"])
     bureau = M.merge_bureau_and_balance(bundle["bureau"], bundle["bureau_balance"],
                                         skew_threshold=threshold)
-    merged = M.merge_datasets(app, prev, inst, bundle["credit_card_balance"],
-                              bundle["pos_cash_balance"], bureau)
+    return [M.previous_application_mart(prev), M.instalment_mart(inst),
+            M.credit_card_mart(bundle["credit_card_balance"]),
+            M.pos_cash_mart(bundle["pos_cash_balance"]), M.bureau_mart(bureau)]
+
+
+def build_features(bundle: dict[str, DataFrame], *, skew: bool = True,
+                   skew_exclude=C.SKEW_EXCLUDE, threshold=C.SKEW_THRESHOLD) -> DataFrame:
+    """the seven tables -> one feature row per application."""
+    app = CL.clean_application(bundle["application_train"])
+    merged = M.left_join_chain(app, C.APP_KEY, child_rollups(bundle, threshold=threshold))
     feats = FE.feature_engineering(merged)
     if skew:
         feats = SK.log_transform_skewed(feats, threshold=threshold, exclude=skew_exclude,
