@@ -105,7 +105,12 @@ def distinct_counts(df: DataFrame, key: str, specs) -> DataFrame:
     Keys whose values are all NULL are absent (the caller fills 0).
     """
     specs = list(specs)
-    pairs = F.array(*[F.struct(F.lit(i).alias("slot"), F.col(s.col).cast("string").alias("v"))
+    types = dict(df.dtypes)
+    same = len({types[s.col] for s in specs}) == 1
+    # one shared type (e.g. all long ids) stays typed; mixed types go through
+    # their exact text form so they fit one column
+    val = (lambda c: F.col(c)) if same else (lambda c: F.col(c).cast("string"))
+    pairs = F.array(*[F.struct(F.lit(i).alias("slot"), val(s.col).alias("v"))
                       for i, s in enumerate(specs)])
     stacked = (df.select(F.col(key), F.inline(pairs))
                  .filter(F.col("v").isNotNull())

@@ -34,16 +34,15 @@ R = 6
 TIE_SHIFT = 1.3e-9
 
 
-_TABLES: dict = {}
-
-
 def tbl(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """Parquet table (the scan relation is reused per session and path; no data is cached)."""
+    """Parquet table. The scan relation (file listing + footer schema, no data)
+    is remembered on the session object, so a new session never sees a frame
+    of an old one."""
     path = f"{d.rstrip('/')}/{name}.parquet"
-    k = (id(spark), path)
-    if k not in _TABLES:
-        _TABLES[k] = spark.read.parquet(path)
-    return _TABLES[k]
+    memo = spark.__dict__.setdefault("_loanlens_tables", {})
+    if path not in memo:
+        memo[path] = spark.read.parquet(path)
+    return memo[path]
 
 
 def day_rel(c) -> "F.Column":
