@@ -95,6 +95,36 @@ def best_f1_threshold(df: DataFrame, score_col: str, label_col: str,
             .orderBy(F.desc_nulls_last("f1"), F.asc("threshold")).limit(1))
 
 
+def f1_on_grid(df: DataFrame, score_col: str, label_col: str, steps: int = 100) -> DataFrame:
+    """F1 at thresholds t_i = i / steps, i = 0..steps (predict 1 iff score >= t_i).
+
+    Each row falls in the bucket of the largest grid threshold <= its score;
+    the per-bucket counts (at most steps + 2 rows, whatever the data size) are
+    suffix-summed, so no row is ever paired with the thresholds.
+    """
+    grid = [i / steps for i in range(steps + 1)]
+    counts = score_label_counts(df, score_col, label_col)
+    per = (Bucketizer(splits=[float("-inf")] + grid + [float("inf")], inputCol="score",
+                      outputCol="bucket").transform(counts)
+           .groupBy("bucket").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn")))
+    # bucket 0: score < t_0; bucket i + 1: t_i <= score < t_(i+1)
+    ids = counts.sparkSession.createDataFrame(
+        [(float(k), grid[k - 1] if k > 0 else None) for k in range(steps + 2)],
+        "bucket double, threshold double")
+    full = ids.join(F.broadcast(per), "bucket", "left").fillna(0, ["bp", "bn"])
+    # windows over the bounded bucket table only
+    suffix = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, 0)
+    every = Window.partitionBy()
+    out = full.select(
+        "bucket", "threshold",
+        F.sum("bp").over(suffix).alias("tp"), F.sum("bn").over(suffix).alias("fp"),
+        (F.sum("bp").over(every) - F.sum("bp").over(suffix)).alias("fn"))
+    out = out.filter(F.col("bucket") > 0).withColumn(
+        "f1", F.try_divide(F.lit(2.0) * F.col("tp"), F.lit(2.0) * F.col("tp") + F.col("fp") + F.col("fn")))
+    return out.select("threshold", F.col("tp").cast("long").alias("tp"),
+                      F.col("fp").cast("long").alias("fp"), F.col("fn").cast("long").alias("fn"), "f1")
+
+
 def auc_evaluator(df: DataFrame, score_col: str, label_col: str) -> float:
     """ROC-AUC through Spark ML's evaluator (exact with numBins=0)."""
     ev = BinaryClassificationEvaluator(rawPredictionCol=score_col, labelCol=label_col,

@@ -589,6 +589,10 @@ SQL_SCORED = (
     "FROM dd) ")
 
 
+def q_f1_grid(spark, d):
+    return rnd(MT.f1_on_grid(_scored_docs(spark, d), "score", "quality", steps=20), ["threshold", "f1"])
+
+
 def doc_features(spark, d) -> DataFrame:
     """Labelled training rows from documents (numeric + text features)."""
     j = tbl(spark, d, "labels").join(tbl(spark, d, "documents"), "doc_id")
@@ -641,6 +645,7 @@ QUERIES = {
     "one_hot": q_one_hot,
     "auc_rank": q_auc_rank,
     "f1_threshold": q_f1_threshold,
+    "f1_grid": q_f1_grid,
     "train_score": q_train_score,
 }
 
@@ -798,4 +803,16 @@ ORACLE_SQL = {
         "FROM c, t) "
         "SELECT round(" + SQL_SHIFT + "threshold, 6) AS threshold, tp, fp, fn, round(" + SQL_SHIFT + "f1, 6) AS f1 FROM f "
         "ORDER BY f1 DESC, threshold ASC LIMIT 1",
+    "f1_grid":
+        SQL_SCORED + ", g AS (SELECT CAST(i AS DOUBLE) / CAST(20 AS DOUBLE) AS threshold "
+        "FROM range(0, 21) t(i)) "
+        "SELECT round(" + SQL_SHIFT + "threshold, 6) AS threshold, "
+        "CAST(coalesce(sum(pos) FILTER (WHERE score >= threshold), 0) AS BIGINT) AS tp, "
+        "CAST(coalesce(sum(neg) FILTER (WHERE score >= threshold), 0) AS BIGINT) AS fp, "
+        "CAST(coalesce(sum(pos) FILTER (WHERE score < threshold), 0) AS BIGINT) AS fn, "
+        "round(" + SQL_SHIFT + "CAST(2.0 AS DOUBLE) * coalesce(sum(pos) FILTER (WHERE score >= threshold), 0) / "
+        "nullif(CAST(2.0 AS DOUBLE) * coalesce(sum(pos) FILTER (WHERE score >= threshold), 0) "
+        "+ coalesce(sum(neg) FILTER (WHERE score >= threshold), 0) "
+        "+ coalesce(sum(pos) FILTER (WHERE score < threshold), 0), 0), 6) AS f1 "
+        "FROM g, dd GROUP BY threshold",
 }

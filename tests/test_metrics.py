@@ -54,3 +54,17 @@ def test_best_f1(scored, rows_per_bucket):
     r = MT.best_f1_threshold(df, "s", "y", rows_per_bucket=rows_per_bucket).first()
     t, f1 = brute_f1(sc, lab)
     assert r.threshold == pytest.approx(t) and r.f1 == pytest.approx(f1)
+
+
+def test_f1_grid(scored):
+    df, sc, lab = scored
+    got = {round(r.threshold, 6): r for r in MT.f1_on_grid(df, "s", "y", steps=20).collect()}
+    assert len(got) == 21
+    for i in range(21):
+        t = i / 20
+        tp = sum(1 for s, l in zip(sc, lab) if s >= t and l == 1)
+        fp = sum(1 for s, l in zip(sc, lab) if s >= t and l != 1)
+        fn = sum(1 for s, l in zip(sc, lab) if s < t and l == 1)
+        r = got[round(t, 6)]
+        assert (r.tp, r.fp, r.fn) == (tp, fp, fn)
+        assert r.f1 == (pytest.approx(2 * tp / (2 * tp + fp + fn)) if tp + fp + fn else None)
