@@ -128,6 +128,40 @@ BUREAU_COERCE_COLUMNS = ["CNT_CREDIT_PROLONG"]
 # Bureau credit state counted per applicant.
 BUREAU_ACTIVE_VALUE = "Active"
 
+# Roll-up inputs per child table, in output order.
+PREV_MEAN_COLUMNS = ["AMT_ANNUITY", "AMT_APPLICATION", "AMT_CREDIT", "AMT_GOODS_PRICE"]
+INST_MEAN_COLUMNS = ["DAYS_INSTALMENT", "DAYS_ENTRY_PAYMENT", "AMT_INSTALMENT", "AMT_PAYMENT"]
+CARD_MEAN_COLUMNS = [
+    "MONTHS_BALANCE", "AMT_BALANCE", "AMT_CREDIT_LIMIT_ACTUAL", "AMT_DRAWINGS_ATM_CURRENT",
+    "AMT_DRAWINGS_CURRENT", "AMT_DRAWINGS_OTHER_CURRENT", "AMT_DRAWINGS_POS_CURRENT",
+    "AMT_INST_MIN_REGULARITY", "AMT_PAYMENT_TOTAL_CURRENT", "AMT_RECEIVABLE_PRINCIPAL",
+    "AMT_RECIVABLE", "AMT_TOTAL_RECEIVABLE", "CNT_DRAWINGS_ATM_CURRENT",
+    "CNT_DRAWINGS_CURRENT", "CNT_DRAWINGS_OTHER_CURRENT", "CNT_DRAWINGS_POS_CURRENT",
+    "CNT_INSTALMENT_MATURE_CUM",
+]
+POS_MEAN_COLUMNS = ["MONTHS_BALANCE", "CNT_INSTALMENT", "CNT_INSTALMENT_FUTURE"]
+DPD_MEAN_COLUMNS = ["SK_DPD", "SK_DPD_DEF"]
+# Second-level bureau roll-up: (column, aggregate), output name BUREAU_<column>.
+BUREAU_AGGREGATIONS = [
+    ("SK_ID_BUREAU", "nunique"),
+    ("CREDIT_ACTIVE", "count_active"),
+    ("CREDIT_CURRENCY", "nunique"),
+    ("DAYS_CREDIT", "mean"),
+    ("CREDIT_DAY_OVERDUE", "mean"),
+    ("DAYS_ENDDATE_FACT", "mean"),
+    ("CNT_CREDIT_PROLONG", "sum"),
+    ("AMT_CREDIT_SUM", "mean"),
+    ("AMT_CREDIT_SUM_DEBT", "mean"),
+    ("AMT_CREDIT_SUM_LIMIT", "mean"),
+    ("AMT_CREDIT_SUM_OVERDUE", "mean"),
+    ("CREDIT_TYPE", "nunique"),
+    ("DAYS_CREDIT_UPDATE", "mean"),
+    ("BUREAU_BAL_MONTHS_BALANCE_MEAN", "mean"),
+    ("BUREAU_BAL_STATUS_MEAN", "mean"),
+    ("BUREAU_BAL_STATUS_MAX", "max"),
+    ("BUREAU_BAL_STATUS_MIN", "min"),
+]
+
 # Row-wise features: guarded ratios (name, numerator, denominator).
 GUARDED_RATIOS = [
     ("CREDIT_INCOME_RATIO", "AMT_CREDIT", "AMT_INCOME_TOTAL"),

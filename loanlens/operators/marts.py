@@ -31,62 +31,45 @@ BALANCE_SPEC = [
 ]
 
 PREV_SPEC = (
-    [Agg("PREV_APP_COUNT", "nunique", "SK_ID_PREV")]
-    + [Agg(f"PREV_{c}_MEAN", "mean", c)
-       for c in ["AMT_ANNUITY", "AMT_APPLICATION", "AMT_CREDIT", "AMT_GOODS_PRICE"]]
+    [Agg("PREV_APP_COUNT", "nunique", C.PREV_KEY)]
+    + [Agg(f"PREV_{c}_MEAN", "mean", c) for c in C.PREV_MEAN_COLUMNS]
     + [Agg(f"PREV_{d}_BINNED_MODE", "mode_ordinal", f"{d}_BINNED", tuple(C.DAY_BIN_LABELS))
        for d in C.PREV_DAYS_COLUMNS]
 )
 
 INST_SPEC = (
     [Agg("INST_COUNT", "nunique", "NUM_INSTALMENT_NUMBER")]
-    + [Agg(f"INST_{c}_MEAN", "mean", c)
-       for c in ["DAYS_INSTALMENT", "DAYS_ENTRY_PAYMENT", "AMT_INSTALMENT", "AMT_PAYMENT"]]
+    + [Agg(f"INST_{c}_MEAN", "mean", c) for c in C.INST_MEAN_COLUMNS]
 )
 
-_CARD_MEANS = [
-    "MONTHS_BALANCE", "AMT_BALANCE", "AMT_CREDIT_LIMIT_ACTUAL", "AMT_DRAWINGS_ATM_CURRENT",
-    "AMT_DRAWINGS_CURRENT", "AMT_DRAWINGS_OTHER_CURRENT", "AMT_DRAWINGS_POS_CURRENT",
-    "AMT_INST_MIN_REGULARITY", "AMT_PAYMENT_TOTAL_CURRENT", "AMT_RECEIVABLE_PRINCIPAL",
-    "AMT_RECIVABLE", "AMT_TOTAL_RECEIVABLE", "CNT_DRAWINGS_ATM_CURRENT",
-    "CNT_DRAWINGS_CURRENT", "CNT_DRAWINGS_OTHER_CURRENT", "CNT_DRAWINGS_POS_CURRENT",
-    "CNT_INSTALMENT_MATURE_CUM",
-]
 
-CARD_SPEC = (
-    [Agg("CREDIT_PREV_LOANS_COUNT", "nunique", "SK_ID_PREV")]
-    + [Agg(f"CREDIT_{c}_MEAN", "mean", c) for c in _CARD_MEANS]
-    + [Agg("CREDIT_NAME_CONTRACT_STATUS_MODE", "mode", "NAME_CONTRACT_STATUS")]
-    + [Agg(f"CREDIT_{c}_MEAN", "mean", c) for c in ["SK_DPD", "SK_DPD_DEF"]]
-)
+def _balance_spec(prefix: str, means) -> list[Agg]:
+    """Card / cash roll-up: distinct earlier loans, means, status mode, DPD means."""
+    return ([Agg(f"{prefix}_PREV_LOANS_COUNT", "nunique", C.PREV_KEY)]
+            + [Agg(f"{prefix}_{c}_MEAN", "mean", c) for c in means]
+            + [Agg(f"{prefix}_NAME_CONTRACT_STATUS_MODE", "mode", "NAME_CONTRACT_STATUS")]
+            + [Agg(f"{prefix}_{c}_MEAN", "mean", c) for c in C.DPD_MEAN_COLUMNS])
 
-POS_SPEC = (
-    [Agg("POS_PREV_LOANS_COUNT", "nunique", "SK_ID_PREV")]
-    + [Agg(f"POS_{c}_MEAN", "mean", c)
-       for c in ["MONTHS_BALANCE", "CNT_INSTALMENT", "CNT_INSTALMENT_FUTURE"]]
-    + [Agg("POS_NAME_CONTRACT_STATUS_MODE", "mode", "NAME_CONTRACT_STATUS")]
-    + [Agg(f"POS_{c}_MEAN", "mean", c) for c in ["SK_DPD", "SK_DPD_DEF"]]
-)
 
-BUREAU_SPEC = [
-    Agg("BUREAU_SK_ID_BUREAU", "nunique", "SK_ID_BUREAU"),
-    Agg("BUREAU_CREDIT_ACTIVE", "count_eq", "CREDIT_ACTIVE", C.BUREAU_ACTIVE_VALUE),
-    Agg("BUREAU_CREDIT_CURRENCY", "nunique_small", "CREDIT_CURRENCY"),
-    Agg("BUREAU_DAYS_CREDIT", "mean", "DAYS_CREDIT"),
-    Agg("BUREAU_CREDIT_DAY_OVERDUE", "mean", "CREDIT_DAY_OVERDUE"),
-    Agg("BUREAU_DAYS_ENDDATE_FACT", "mean", "DAYS_ENDDATE_FACT"),
-    Agg("BUREAU_CNT_CREDIT_PROLONG", "sum0", "CNT_CREDIT_PROLONG"),
-    Agg("BUREAU_AMT_CREDIT_SUM", "mean", "AMT_CREDIT_SUM"),
-    Agg("BUREAU_AMT_CREDIT_SUM_DEBT", "mean", "AMT_CREDIT_SUM_DEBT"),
-    Agg("BUREAU_AMT_CREDIT_SUM_LIMIT", "mean", "AMT_CREDIT_SUM_LIMIT"),
-    Agg("BUREAU_AMT_CREDIT_SUM_OVERDUE", "mean", "AMT_CREDIT_SUM_OVERDUE"),
-    Agg("BUREAU_CREDIT_TYPE", "nunique_small", "CREDIT_TYPE"),
-    Agg("BUREAU_DAYS_CREDIT_UPDATE", "mean", "DAYS_CREDIT_UPDATE"),
-    Agg("BUREAU_BUREAU_BAL_MONTHS_BALANCE_MEAN", "mean", "BUREAU_BAL_MONTHS_BALANCE_MEAN"),
-    Agg("BUREAU_BUREAU_BAL_STATUS_MEAN", "mean", "BUREAU_BAL_STATUS_MEAN"),
-    Agg("BUREAU_BUREAU_BAL_STATUS_MAX", "max", "BUREAU_BAL_STATUS_MAX"),
-    Agg("BUREAU_BUREAU_BAL_STATUS_MIN", "min", "BUREAU_BAL_STATUS_MIN"),
-]
+CARD_SPEC = _balance_spec("CREDIT", C.CARD_MEAN_COLUMNS)
+POS_SPEC = _balance_spec("POS", C.POS_MEAN_COLUMNS)
+
+# Low-cardinality label columns get the bounded in-aggregate distinct count.
+_SMALL_LABELS = {"CREDIT_CURRENCY", "CREDIT_TYPE"}
+
+
+def _bureau_agg(col: str, how: str) -> Agg:
+    out = f"BUREAU_{col}"
+    if how == "count_active":
+        return Agg(out, "count_eq", col, C.BUREAU_ACTIVE_VALUE)
+    if how == "nunique":
+        return Agg(out, "nunique_small" if col in _SMALL_LABELS else "nunique", col)
+    if how == "sum":
+        return Agg(out, "sum0", col)
+    return Agg(out, how, col)
+
+
+BUREAU_SPEC = [_bureau_agg(c, h) for c, h in C.BUREAU_AGGREGATIONS]
 
 
 # ---------------------------------------------------------------------------

@@ -100,8 +100,7 @@ def make_tables(n_app: int = 60, seed: int = 7) -> dict[str, pd.DataFrame]:
                 out.append(r)
         return pd.DataFrame(out)
 
-    from loanlens.operators.marts import _CARD_MEANS
-    card = balance([c for c in _CARD_MEANS if c != "MONTHS_BALANCE"], n_app // 3)
+    card = balance([c for c in C.CARD_MEAN_COLUMNS if c != "MONTHS_BALANCE"], n_app // 3)
     # tie for the text mode: two statuses, twice each -> the smaller text wins
     for s in ["Signed", "Active", "Signed", "Active"]:
         card.loc[len(card)] = {**card.iloc[0].to_dict(), "SK_ID_CURR": ids[-7], "NAME_CONTRACT_STATUS": s}
