@@ -44,20 +44,26 @@ def _bucketize(counts: DataFrame, rows_per_bucket: int) -> DataFrame:
                 splits.append(q)
     splits.append(float("inf"))
     if len(splits) < 3:
-        return counts.withColumn("bucket", F.lit(0.0))
-    return Bucketizer(splits=splits, inputCol="score", outputCol="bucket").transform(counts)
+        return counts.withColumn("bucket", F.lit(0.0)), 1
+    return (Bucketizer(splits=splits, inputCol="score", outputCol="bucket").transform(counts),
+            len(splits) - 1)
 
 
 def prefix_counts(counts: DataFrame, rows_per_bucket: int = 1_000_000) -> DataFrame:
     """Adds ``pos_before`` / ``neg_before``: totals over strictly smaller scores."""
-    bucketed = _bucketize(counts, rows_per_bucket)
+    bucketed, n_buckets = _bucketize(counts, rows_per_bucket)
+    w = Window.partitionBy("bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    if n_buckets == 1:     # at most rows_per_bucket distinct scores: no offsets to add
+        return bucketed.select(
+            "score", "pos", "neg",
+            F.coalesce(F.sum("pos").over(w), F.lit(0)).alias("pos_before"),
+            F.coalesce(F.sum("neg").over(w), F.lit(0)).alias("neg_before"))
     totals = bucketed.groupBy("bucket").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
     # One row per bucket: this window is over a small, bounded table.
     w_b = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("bucket",
                             F.coalesce(F.sum("bp").over(w_b), F.lit(0)).alias("pos_off"),
                             F.coalesce(F.sum("bn").over(w_b), F.lit(0)).alias("neg_off"))
-    w = Window.partitionBy("bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     return (bucketed.join(F.broadcast(offsets), "bucket")
             .select("score", "pos", "neg",
                     (F.col("pos_off") + F.coalesce(F.sum("pos").over(w), F.lit(0))).alias("pos_before"),
