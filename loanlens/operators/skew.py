@@ -60,7 +60,9 @@ def log_transform_skewed(df: DataFrame, threshold=C.SKEW_THRESHOLD, exclude=None
 
     Candidate columns come out as double; a NULL result keeps the old value.
     ``materialize`` checkpoints ``df`` first (use it when ``df`` is an expensive
-    plan such as the joined mart: statistics and rows then read it once).
+    plan such as the joined mart): the one-row statistics are then read off
+    the checkpoint and inlined as literals, so only the chosen columns carry a
+    log expression and the rows are read once more.
     """
     cols = candidate_columns(df, exclude, columns)
     if not cols:
@@ -68,6 +70,11 @@ def log_transform_skewed(df: DataFrame, threshold=C.SKEW_THRESHOLD, exclude=None
     if materialize:
         from ..session import materialize as _mat
         df = _mat(df)
+        model = SkewLogEstimator(inputCols=cols, threshold=threshold, shift=shift).fit(df)
+        chosen = set(model.getOrDefault(model.selectedCols))
+        out = model.transform(df)
+        rest = [c for c in cols if c not in chosen]
+        return out.withColumns({c: X.col(c).cast("double") for c in rest}) if rest else out
     tmp = "__skew_stats"
     out = X.attach_scalar(df, tmp, df.agg(_stats_struct(cols).alias("st")))
     new = {}
