@@ -45,9 +45,9 @@ def tbl(spark: SparkSession, d: str, name: str) -> DataFrame:
     return memo[path]
 
 
-def day_rel(c) -> "F.Column":
-    """Days from 2000-01-01 to the date of ``c`` (double)."""
-    return F.datediff(F.to_date(X.col(c)), F.lit(DAY0).cast("date")).cast("double")
+def day_rel(c, anchor: str = DAY0) -> "F.Column":
+    """Days from ``anchor`` (default 2000-01-01) to the date of ``c`` (double)."""
+    return F.datediff(F.to_date(X.col(c)), F.lit(anchor).cast("date")).cast("double")
 
 
 def rnd(df: DataFrame, cols) -> DataFrame:
@@ -467,7 +467,7 @@ def q_wide_mart(spark, d):
                                                materialize=True))
 
 
-def _sql_wide_mart() -> str:
+def _sql_wide_mart(skew: bool = True) -> str:
     num_m = ["c_nationkey", "c_acctbal", "PREV_APP_COUNT", "PREV_O_TOTALPRICE_MEAN",
              "INST_COUNT", "INST_DAYS_INSTALMENT_MEAN", "INST_DAYS_ENTRY_PAYMENT_MEAN",
              "INST_AMT_INSTALMENT_MEAN", "INST_AMT_PAYMENT_MEAN", "CREDIT_PREV_LOANS_COUNT",
@@ -500,7 +500,7 @@ def _sql_wide_mart() -> str:
     cands = [c for c in num_m if c not in WIDE_EXCLUDE] + [
         "CREDIT_INCOME_RATIO", "ORDER_YEARS", "PAYMENT_PER_ORDER", "EXT_MEAN", "EXT_MEDIAN",
         "COUNT_SUM"]
-    return (
+    ctes = (
         "WITH app AS (SELECT c_custkey, c_mktsegment, CAST(c_nationkey AS DOUBLE) AS c_nationkey, "
         "c_acctbal FROM customer), "
         f"pv AS (SELECT o_custkey, o_orderkey, o_totalprice, {sql_bin_label(prev_days)} AS bl, "
@@ -528,9 +528,16 @@ def _sql_wide_mart() -> str:
         "LEFT JOIN bur ON c_custkey = bur.o_custkey), "
         f"m AS (SELECT {m_sel} FROM j), "
         f"f0 AS (SELECT *, {f14} FROM m), "
-        f"f AS (SELECT * EXCLUDE (_l), {median} FROM f0) "
-        + sql_skew_select(cands, "f", ["c_custkey", "c_mktsegment", "PREV_DAYS_REL_BINNED_MODE",
-                                        "CREDIT_EVENT_TYPE_MODE", f"round({SQL_SHIFT}c_nationkey, {R}) AS c_nationkey"]))
+        f"f AS (SELECT * EXCLUDE (_l), {median} FROM f0) ")
+    text_keep = ["c_custkey", "c_mktsegment", "PREV_DAYS_REL_BINNED_MODE", "CREDIT_EVENT_TYPE_MODE"]
+    if skew:
+        return ctes + sql_skew_select(
+            cands, "f", text_keep + [f"round({SQL_SHIFT}c_nationkey, {R}) AS c_nationkey"])
+    counts = {c for c in num_m if c.endswith(("_COUNT", "_MAX", "_MIN")) or c in (
+        "BUREAU_SK_ID_BUREAU", "BUREAU_CREDIT_ACTIVE", "BUREAU_CREDIT_CURRENCY", "BUREAU_CREDIT_TYPE")}
+    sel = text_keep + [c if c in counts else f"round({SQL_SHIFT}{c}, {R}) AS {c}"
+                       for c in ["c_nationkey"] + cands]
+    return ctes + f"SELECT {', '.join(sel)} FROM f"
 
 
 def q_standardise(spark, d):
@@ -610,6 +617,303 @@ def q_train_score(spark, d):
     return ML.score(model, feats, key="doc_id")
 
 
+# -- single marts and cleaning steps (F1, F2, F8, F10, F11, F13, F14) --------
+
+def q_clean_application(spark, d):
+    """unknown segment removed (NULL kept), text counters coerced."""
+    c = tbl(spark, d, "customer").select(
+        "c_custkey", F.nullif(F.col("c_mktsegment"), F.lit("BUILDING")).alias("c_mktsegment"),
+        F.substring_index("c_name", "#", -1).alias("name_num"), F.col("c_name").alias("name_whole"),
+        F.col("c_nationkey").cast("string").alias("nation_txt"),
+        F.col("c_acctbal").cast("string").alias("acctbal_txt"))
+    return CL.clean_application(c, gender_col="c_mktsegment", drop_value="AUTOMOBILE",
+                                coerce=["name_num", "name_whole", "nation_txt", "acctbal_txt"])
+
+
+PREV_DAYS_ANALOG = ["days_rel", "days_to_end", "days_mid"]
+
+
+def prev_rows(spark, d) -> DataFrame:
+    """orders as previous applications: an annuity with negatives and NULLs,
+    three day columns (one with the sentinel, one with NULLs)."""
+    o = tbl(spark, d, "orders")
+    return o.select(
+        "o_orderkey", "o_custkey", "o_orderpriority",
+        F.when(F.col("o_orderpriority") == "5-LOW", F.lit(None).cast("double"))
+         .otherwise(F.col("o_totalprice") - F.lit(20000.0)).alias("amt_annuity"),
+        "o_totalprice",
+        F.when(F.col("o_orderstatus") == "P", F.lit(float(C.DAYS_SENTINEL)))
+         .otherwise(day_rel("o_orderdate")).alias("days_rel"),
+        day_rel("o_orderdate", "2001-08-01").alias("days_to_end"),
+        F.when(F.col("o_orderstatus") == "F", F.lit(None).cast("double"))
+         .otherwise(day_rel("o_orderdate", "1998-01-01")).alias("days_mid"))
+
+
+def clean_prev(spark, d) -> DataFrame:
+    return CL.clean_previous_application(prev_rows(spark, d), drop=["o_orderpriority", "o_comment"],
+                                         amount_col="amt_annuity", days=PREV_DAYS_ANALOG)
+
+
+def q_clean_previous(spark, d):
+    """tolerant drop, annuity >= 0 (NULL dropped), five-bin day labels, strict drop."""
+    return rnd(clean_prev(spark, d), ["amt_annuity"])
+
+
+PREV_ANALOG = (
+    [Agg("PREV_APP_COUNT", "nunique", "o_orderkey"),
+     Agg("PREV_AMT_ANNUITY_MEAN", "mean", "amt_annuity"),
+     Agg("PREV_O_TOTALPRICE_MEAN", "mean", "o_totalprice")]
+    + [Agg(f"PREV_{c.upper()}_BINNED_MODE", "mode_ordinal", f"{c}_BINNED", tuple(C.DAY_BIN_LABELS))
+       for c in PREV_DAYS_ANALOG])
+
+
+def q_prev_mart(spark, d):
+    """F8: distinct count, means and three binned-day modes (bin-order ties)."""
+    return rnd_doubles(M.previous_application_mart(clean_prev(spark, d), key="o_custkey",
+                                                   spec=PREV_ANALOG))
+
+
+def card_rows(spark, d) -> DataFrame:
+    """events as monthly card balances of a user."""
+    ev = tbl(spark, d, "events")
+    return ev.select(
+        "user_id", F.get_json_object("props", "$.k").try_cast("double").alias("k"), "value",
+        F.hour("ts").cast("double").alias("hour"), F.dayofmonth("ts").cast("double").alias("dom"),
+        F.minute("ts").cast("double").alias("minute"),
+        F.when(F.col("event_type") == "purchase", F.col("value")).alias("purchase_value"),
+        F.nullif(F.col("event_type"), F.lit("error")).alias("status"))
+
+
+CARD_ANALOG = [
+    Agg("CREDIT_PREV_LOANS_COUNT", "nunique", "k"),
+    Agg("CREDIT_AMT_BALANCE_MEAN", "mean", "value"),
+    Agg("CREDIT_MONTHS_BALANCE_MEAN", "mean", "dom"),
+    Agg("CREDIT_AMT_DRAWINGS_POS_CURRENT_MEAN", "mean", "purchase_value"),
+    Agg("CREDIT_CNT_DRAWINGS_CURRENT_MEAN", "mean", "hour"),
+    Agg("CREDIT_NAME_CONTRACT_STATUS_MODE", "mode", "status"),
+    Agg("CREDIT_SK_DPD_MEAN", "mean", "minute"),
+    Agg("CREDIT_SK_DPD_DEF_MEAN", "mean", "k"),
+]
+
+
+def q_card_mart(spark, d):
+    """distinct count, means (one with NULL rows), text mode with NULLs."""
+    return rnd_doubles(M.credit_card_mart(card_rows(spark, d), key="user_id", spec=CARD_ANALOG))
+
+
+def pos_rows(spark, d) -> DataFrame:
+    """lineitem x orders as monthly cash-loan balances of a customer."""
+    li = tbl(spark, d, "lineitem")
+    o = tbl(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    j = li.join(o, li["l_orderkey"] == o["o_orderkey"])
+    dpd = day_rel("l_shipdate") - day_rel("o_orderdate")
+    return j.select(
+        "o_custkey", "l_orderkey", (-F.col("l_linenumber")).cast("double").alias("months"),
+        "l_quantity", (F.col("l_quantity") * (F.lit(1.0) - F.col("l_discount"))).alias("qty_future"),
+        F.concat("l_returnflag", "l_linestatus").alias("status"), dpd.alias("dpd"),
+        F.greatest(dpd - F.lit(60.0), F.lit(0.0)).alias("dpd_def"))
+
+
+POS_ANALOG = [
+    Agg("POS_PREV_LOANS_COUNT", "nunique", "l_orderkey"),
+    Agg("POS_MONTHS_BALANCE_MEAN", "mean", "months"),
+    Agg("POS_CNT_INSTALMENT_MEAN", "mean", "l_quantity"),
+    Agg("POS_CNT_INSTALMENT_FUTURE_MEAN", "mean", "qty_future"),
+    Agg("POS_NAME_CONTRACT_STATUS_MODE", "mode", "status"),
+    Agg("POS_SK_DPD_MEAN", "mean", "dpd"),
+    Agg("POS_SK_DPD_DEF_MEAN", "mean", "dpd_def"),
+]
+
+
+def q_pos_mart(spark, d):
+    """F11 over a join: distinct orders, means, status mode (text ties)."""
+    return rnd_doubles(M.pos_cash_mart(pos_rows(spark, d), key="o_custkey", spec=POS_ANALOG))
+
+
+ROW_KEYS = ["l_orderkey", "l_linenumber"]
+ROW_F14 = dict(
+    keys=ROW_KEYS,
+    guarded=[("R_PRICE_DISCOUNT", "l_extendedprice", "l_discount"),
+             ("R_PRICE_TAX", "l_extendedprice", "l_tax"),
+             ("R_QTY_DISCOUNT", "l_quantity", "l_discount"),
+             ("R_ORDER_LINE", "o_totalprice", "l_extendedprice")],
+    years=[("SHIP_YEARS", "ship_day"), ("ORDER_YEARS", "order_day"),
+           ("LEAD_YEARS", "lead_days"), ("SHIP_END_YEARS", "ship_end_day")],
+    plain=[("TAX_PER_DISCOUNT", "l_tax", "l_discount"),
+           ("QTY_PER_PRIOR_LINE", "l_quantity", "prior_lines")],
+    mean_median=("X_MEAN", "X_MEDIAN", ["x1", "x2", "x3"]),
+    sums=[("FLAG_SUM_A", ["f_r", "f_f", "f_big"]), ("FLAG_SUM_B", ["f_disc", "f_tax"])],
+)
+
+
+def row_feature_input(spark, d) -> DataFrame:
+    li = tbl(spark, d, "lineitem")
+    o = tbl(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    j = li.join(o, li["l_orderkey"] == o["o_orderkey"])
+    one, zero = F.lit(1.0), F.lit(0.0)
+    return j.select(
+        "l_orderkey", "l_linenumber", "l_extendedprice", "l_discount", "l_tax", "l_quantity",
+        "o_totalprice", day_rel("l_shipdate").alias("ship_day"),
+        F.when(F.col("o_orderstatus") == "P", F.lit(float(C.DAYS_SENTINEL)))
+         .otherwise(day_rel("o_orderdate")).alias("order_day"),
+        (F.col("l_linenumber") - 1).cast("double").alias("prior_lines"),
+        (day_rel("l_shipdate") - day_rel("o_orderdate")).alias("lead_days"),
+        day_rel("l_shipdate", "2001-08-01").alias("ship_end_day"),
+        F.when(F.col("l_returnflag") == "R", F.lit(None)).otherwise(F.col("l_discount")).alias("x1"),
+        F.when(F.col("l_linestatus") == "F", F.lit(None)).otherwise(F.col("l_tax")).alias("x2"),
+        F.when(F.col("l_linenumber") > 4, F.lit(None))
+         .otherwise(F.col("l_quantity") / F.lit(50.0)).alias("x3"),
+        F.when(F.col("l_returnflag") == "R", one).when(F.col("l_returnflag") == "A", zero).alias("f_r"),
+        F.when(F.col("l_linestatus") == "F", one).otherwise(zero).alias("f_f"),
+        F.when(F.col("l_quantity") > 25, one).otherwise(zero).alias("f_big"),
+        F.when(F.col("l_discount") > 0.05, one).otherwise(zero).alias("f_disc"),
+        F.when(F.col("l_tax") != 0, one).alias("f_tax"))
+
+
+def q_row_features(spark, d):
+    """F14 in full: sentinel -> NULL on every non-key number, 4 guarded ratios,
+    4 day -> year columns, 2 plain ratios, row mean / median, 2 row sums.
+    Plain row arithmetic, the same IEEE operations on both sides: compared unrounded."""
+    return FE.feature_engineering(row_feature_input(spark, d), **ROW_F14)
+
+
+def q_feature_mart(spark, d):
+    """F13 + F14 without the final skew step: five roll-ups (one two-level)
+    left-joined onto the customers, then the row-wise features."""
+    return rnd_doubles(wide_mart_unskewed(spark, d))
+
+
+def _sql_prev_rows() -> str:
+    d1 = SQL_DAY.format(c="o_orderdate")
+    d2 = "CAST(date_diff('day', DATE '2001-08-01', CAST(o_orderdate AS DATE)) AS DOUBLE)"
+    d3 = "CAST(date_diff('day', DATE '1998-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE)"
+    rows = (
+        "SELECT o_orderkey, o_custkey, CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE "
+        "o_totalprice - CAST(20000.0 AS DOUBLE) END AS amt_annuity, o_totalprice, "
+        f"CASE WHEN o_orderstatus = 'P' THEN CAST(-99999 AS DOUBLE) ELSE {d1} END AS d_days_rel, "
+        f"{d2} AS d_days_to_end, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE {d3} END AS d_days_mid "
+        "FROM orders")
+    bins = ", ".join(f"{sql_bin_label('d_' + c)} AS {c}_BINNED, {sql_bin_idx('d_' + c)} AS {c}_IDX"
+                     for c in PREV_DAYS_ANALOG)
+    return f"SELECT o_orderkey, o_custkey, amt_annuity, o_totalprice, {bins} FROM ({rows}) WHERE amt_annuity >= 0"
+
+
+def _sql_clean_previous() -> str:
+    cols = ", ".join(f"{c}_BINNED" for c in PREV_DAYS_ANALOG)
+    return (f"SELECT o_orderkey, o_custkey, round({SQL_SHIFT}amt_annuity, {R}) AS amt_annuity, "
+            f"o_totalprice, {cols} FROM ({_sql_prev_rows()})")
+
+
+def _sql_prev_mart() -> str:
+    modes = ", ".join(
+        f"m{i} AS ({sql_mode('p', 'o_custkey', c + '_BINNED', order=c + '_IDX', out='v')})"
+        for i, c in enumerate(PREV_DAYS_ANALOG))
+    sel = ", ".join(f"m{i}.v AS PREV_{c.upper()}_BINNED_MODE" for i, c in enumerate(PREV_DAYS_ANALOG))
+    joins = " ".join(f"LEFT JOIN m{i} ON g.o_custkey = m{i}.o_custkey" for i in range(len(PREV_DAYS_ANALOG)))
+    return (
+        f"WITH p AS ({_sql_prev_rows()}), "
+        "g AS (SELECT o_custkey, count(DISTINCT o_orderkey) AS PREV_APP_COUNT, "
+        f"round({SQL_SHIFT}avg(amt_annuity), {R}) AS PREV_AMT_ANNUITY_MEAN, "
+        f"round({SQL_SHIFT}avg(o_totalprice), {R}) AS PREV_O_TOTALPRICE_MEAN "
+        f"FROM p WHERE o_custkey IS NOT NULL GROUP BY o_custkey), {modes} "
+        f"SELECT g.o_custkey, PREV_APP_COUNT, PREV_AMT_ANNUITY_MEAN, PREV_O_TOTALPRICE_MEAN, {sel} "
+        f"FROM g {joins}")
+
+
+def _sql_rollup(rows: str, key: str, spec, mode_out="v") -> str:
+    """Roll-up oracle: means rounded, distinct counts, text modes by count then value."""
+    aggs, modes, sel, joins = [], [], [], []
+    for s in spec:
+        if s.fn == "nunique":
+            aggs.append(f"count(DISTINCT {s.col}) AS {s.out}")
+        elif s.fn == "mean":
+            aggs.append(f"round({SQL_SHIFT}avg({s.col}), {R}) AS {s.out}")
+        elif s.fn == "mode":
+            i = len(modes)
+            modes.append(f"m{i} AS ({sql_mode('r', key, s.col, out=mode_out)})")
+            joins.append(f"LEFT JOIN m{i} ON g.{key} = m{i}.{key}")
+            sel.append(f"m{i}.{mode_out} AS {s.out}")
+            continue
+        else:
+            raise ValueError(s.fn)
+        sel.append(s.out)
+    return (f"WITH r AS ({rows}), g AS (SELECT {key}, {', '.join(aggs)} FROM r WHERE {key} IS NOT NULL "
+            f"GROUP BY {key}), {', '.join(modes)} SELECT g.{key}, {', '.join(sel)} FROM g {' '.join(joins)}")
+
+
+SQL_CARD_ROWS = (
+    "SELECT user_id, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, value, "
+    "CAST(hour(ts) AS DOUBLE) AS hour, CAST(dayofmonth(ts) AS DOUBLE) AS dom, "
+    "CAST(minute(ts) AS DOUBLE) AS minute, CASE WHEN event_type = 'purchase' THEN value END "
+    "AS purchase_value, nullif(event_type, 'error') AS status FROM events")
+
+_SQL_DPD = SQL_DAY.format(c="l_shipdate") + " - " + SQL_DAY.format(c="o_orderdate")
+SQL_POS_ROWS = (
+    "SELECT o_custkey, l_orderkey, CAST(-l_linenumber AS DOUBLE) AS months, l_quantity, "
+    "l_quantity * (CAST(1.0 AS DOUBLE) - l_discount) AS qty_future, "
+    f"concat(l_returnflag, l_linestatus) AS status, {_SQL_DPD} AS dpd, "
+    f"greatest({_SQL_DPD} - CAST(60.0 AS DOUBLE), CAST(0.0 AS DOUBLE)) AS dpd_def "
+    "FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+
+
+def _sql_row_features() -> str:
+    dd = SQL_DAY.format
+    inputs = (
+        "SELECT l_orderkey, l_linenumber, l_extendedprice, l_discount, l_tax, l_quantity, o_totalprice, "
+        f"{dd(c='l_shipdate')} AS ship_day, CASE WHEN o_orderstatus = 'P' THEN CAST(365243 AS DOUBLE) "
+        f"ELSE {dd(c='o_orderdate')} END AS order_day, CAST(l_linenumber - 1 AS DOUBLE) AS prior_lines, "
+        f"{dd(c='l_shipdate')} - {dd(c='o_orderdate')} AS lead_days, "
+        "CAST(date_diff('day', DATE '2001-08-01', CAST(l_shipdate AS DATE)) AS DOUBLE) AS ship_end_day, "
+        "CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_discount END AS x1, "
+        "CASE WHEN l_linestatus = 'F' THEN NULL ELSE l_tax END AS x2, "
+        "CASE WHEN l_linenumber > 4 THEN NULL ELSE l_quantity / CAST(50 AS DOUBLE) END AS x3, "
+        "CASE WHEN l_returnflag = 'R' THEN 1.0 WHEN l_returnflag = 'A' THEN 0.0 END::DOUBLE AS f_r, "
+        "CASE WHEN l_linestatus = 'F' THEN 1.0 ELSE 0.0 END::DOUBLE AS f_f, "
+        "CASE WHEN l_quantity > 25 THEN 1.0 ELSE 0.0 END::DOUBLE AS f_big, "
+        "CASE WHEN l_discount > 0.05 THEN 1.0 ELSE 0.0 END::DOUBLE AS f_disc, "
+        "CASE WHEN l_tax <> 0 THEN 1.0 END::DOUBLE AS f_tax "
+        "FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+    nums = ["l_extendedprice", "l_discount", "l_tax", "l_quantity", "o_totalprice", "ship_day",
+            "order_day", "prior_lines", "lead_days", "ship_end_day", "x1", "x2", "x3",
+            "f_r", "f_f", "f_big", "f_disc", "f_tax"]
+    s_sel = ", ".join(ROW_KEYS + [f"nullif({c}, 365243) AS {c}" for c in nums])
+    f = ROW_F14
+    feats = [f"{a} / ({b} + CAST(0.00001 AS DOUBLE)) AS {n}" for n, a, b in f["guarded"]]
+    feats += [f"{c} / CAST(-365.0 AS DOUBLE) AS {n}" for n, c in f["years"]]
+    feats += [f"{a} / nullif({b}, 0) AS {n}" for n, a, b in f["plain"]]
+    mean_n, med_n, xs = f["mean_median"]
+    csum = " + ".join(f"coalesce({c}, CAST(0 AS DOUBLE))" for c in xs)
+    ccnt = " + ".join(f"(CASE WHEN {c} IS NOT NULL THEN 1 ELSE 0 END)" for c in xs)
+    feats.append(f"({csum}) / nullif(CAST({ccnt} AS DOUBLE), 0) AS {mean_n}")
+    feats.append(f"list_sort(list_filter([{', '.join(xs)}], lambda v: v IS NOT NULL)) AS _l")
+    feats += [" + ".join(f"coalesce({c}, CAST(0 AS DOUBLE))" for c in cols) + f" AS {n}"
+              for n, cols in f["sums"]]
+    median = (f"CASE len(_l) WHEN 0 THEN NULL WHEN 1 THEN _l[1] WHEN 2 THEN (_l[1] + _l[2]) / 2.0 "
+              f"ELSE _l[2] END AS {med_n}")
+    outs = (nums + [n for n, _a, _b in f["guarded"]] + [n for n, _c in f["years"]]
+            + [n for n, _a, _b in f["plain"]] + [mean_n, med_n] + [n for n, _c in f["sums"]])
+    final = ", ".join(ROW_KEYS + outs)
+    return (f"WITH b AS ({inputs}), s AS (SELECT {s_sel} FROM b), "
+            f"f0 AS (SELECT *, {', '.join(feats)} FROM s), "
+            f"f AS (SELECT * EXCLUDE (_l), {median} FROM f0) SELECT {final} FROM f")
+
+
+NEW_ORACLES = {
+    "clean_application":
+        "SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS c_mktsegment, "
+        "TRY_CAST(split_part(c_name, '#', 2) AS DOUBLE) AS name_num, "
+        "TRY_CAST(c_name AS DOUBLE) AS name_whole, CAST(c_nationkey AS DOUBLE) AS nation_txt, "
+        "c_acctbal AS acctbal_txt FROM customer "
+        "WHERE nullif(c_mktsegment, 'BUILDING') IS DISTINCT FROM 'AUTOMOBILE'",
+    "clean_previous": _sql_clean_previous(),
+    "prev_mart": _sql_prev_mart(),
+    "card_mart": _sql_rollup(SQL_CARD_ROWS, "user_id", CARD_ANALOG),
+    "pos_mart": _sql_rollup(SQL_POS_ROWS, "o_custkey", POS_ANALOG),
+    "row_features": _sql_row_features(),
+    "feature_mart": _sql_wide_mart(skew=False),
+}
+
+
 # ---------------------------------------------------------------------------
 # Registry.
 # ---------------------------------------------------------------------------
@@ -647,6 +951,13 @@ QUERIES = {
     "f1_threshold": q_f1_threshold,
     "f1_grid": q_f1_grid,
     "train_score": q_train_score,
+    "clean_application": q_clean_application,
+    "clean_previous": q_clean_previous,
+    "prev_mart": q_prev_mart,
+    "card_mart": q_card_mart,
+    "pos_mart": q_pos_mart,
+    "row_features": q_row_features,
+    "feature_mart": q_feature_mart,
 }
 
 _ROWS = ("x1", "x2", "x3")
@@ -816,3 +1127,4 @@ ORACLE_SQL = {
         "+ coalesce(sum(pos) FILTER (WHERE score < threshold), 0), 0), 6) AS f1 "
         "FROM g, dd GROUP BY threshold",
 }
+ORACLE_SQL.update(NEW_ORACLES)
