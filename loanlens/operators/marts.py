@@ -11,6 +11,9 @@ join into a broadcast only when the runtime size of a roll-up is under
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,22 +85,28 @@ _DISTINCT = ("nunique", "nunique_small")
 def distinct_counts(df: DataFrame, key: str, specs) -> DataFrame:
     """Exact distinct counts of several columns per key in one narrow pass.
 
-    Each row becomes (key, slot, value-as-text) tuples, deduplicated (map-side
+    Each row becomes (key, slot, typed value) tuples, deduplicated (map-side
     first, so a hot key with few distinct values shrinks before the shuffle),
     then counted per key and slot. Only these narrow tuples are shuffled.
     Keys whose values are all NULL are absent (the caller fills 0).
     """
     specs = list(specs)
-    types = dict(df.dtypes)
-    same = len({types[s.col] for s in specs}) == 1
-    # one shared type (e.g. all long ids) stays typed; mixed types go through
-    # their exact text form so they fit one column
-    val = (lambda c: F.col(c)) if same else (lambda c: F.col(c).cast("string"))
-    pairs = F.array(*[F.struct(F.lit(i).alias("slot"), val(s.col).alias("v"))
-                      for i, s in enumerate(specs)])
+    types = {f.name: f.dataType for f in df.schema.fields}
+    # One value field per data type, so every value keeps its own type (no
+    # text conversion; -0.0 and 0.0 group together as in any Spark grouping).
+    # A slot fills the field of its type and leaves the others NULL.
+    kinds = list(dict.fromkeys(types[s.col] for s in specs))
+    fields = [f"v{j}" for j in range(len(kinds))]
+
+    def entry(i, s):
+        j = kinds.index(types[s.col])
+        vals = [F.col(s.col) if k == j else F.lit(None).cast(t) for k, t in enumerate(kinds)]
+        return F.struct(F.lit(i).alias("slot"), *[v.alias(fields[k]) for k, v in enumerate(vals)])
+
+    pairs = F.array(*[entry(i, s) for i, s in enumerate(specs)])
     stacked = (df.select(F.col(key), F.inline(pairs))
-                 .filter(F.col("v").isNotNull())
-                 .select(key, "slot", "v").distinct())
+                 .filter(reduce(or_, [F.col(f).isNotNull() for f in fields]))
+                 .select(key, "slot", *fields).distinct())
     return stacked.groupBy(key).agg(*[F.count_if(F.col("slot") == i).alias(s.out)
                                       for i, s in enumerate(specs)])
 

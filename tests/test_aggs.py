@@ -54,6 +54,17 @@ def test_distinct_separate_equals_native(spark):
     assert [(r[0], r[1], r[2]) for r in s] == list(exp.itertuples(index=False, name=None))
 
 
+def test_distinct_counts_mixed_types_stay_typed(spark):
+    # long, double and text columns in one pass; -0.0 and 0.0 are one value,
+    # NULLs are not counted, a key with only NULLs counts 0
+    rows = [(1, 7, 0.0, "a"), (1, 7, -0.0, "b"), (1, 8, None, "a"), (2, None, None, None),
+            (3, 1, 1.5, "1"), (3, 2, 1.5, "1.0")]
+    df = spark.createDataFrame(rows, "k int, i long, d double, s string")
+    spec = [Agg("ni", "nunique", "i"), Agg("nd", "nunique", "d"), Agg("ns", "nunique_small", "s")]
+    got = {r.k: (r.ni, r.nd, r.ns) for r in M.rollup(df, "k", spec).collect()}
+    assert got == {1: (2, 1, 2), 2: (0, 0, 0), 3: (2, 1, 2)}
+
+
 @pytest.mark.parametrize("vals", [[1.0, 2.0, 10.0, 3.0, 50.0], [5.0, 1.0, 1.0, 1.0], [2.0, 2.0, 2.0], [1.0, 9.0]])
 def test_skewness_matches_pandas(spark, vals):
     df = spark.createDataFrame([(v,) for v in vals], "x double")
