@@ -86,6 +86,35 @@ def skewness_unbiased(c) -> Column:
     return F.when(n >= F.lit(3.0), g1 * F.sqrt(n * (n - F.lit(1.0))) / (n - F.lit(2.0)))
 
 
+def stacked_stats(df, cols, **stats) -> "DataFrame":
+    """Per-column statistics of many columns in one pass, one row per column.
+
+    Every input row is stacked into ``(idx, x)`` pairs inside the scan's
+    pipeline and aggregated by ``idx``: the aggregate has a handful of
+    functions whatever the column count, so its generated code stays small
+    (one global ``agg`` with hundreds of moment aggregates outgrows the JVM
+    method limit and falls back to slow interpreted evaluation), and the
+    partial aggregate holds one small buffer per column. ``stats`` maps an
+    output name to a function of the double-typed ``x`` column. Every column
+    index is present as soon as ``df`` has a row (NULL values count as absent
+    in every aggregate).
+    """
+    pairs = F.array(*[F.struct(F.lit(i).alias("idx"), X.col(c).cast("double").alias("x"))
+                      for i, c in enumerate(cols)])
+    return (df.select(F.inline(pairs))
+              .groupBy("idx").agg(*[fn(F.col("x")).alias(name) for name, fn in stats.items()]))
+
+
+def packed_stats(stats_df, fields, n: int) -> "DataFrame":
+    """One row, one struct column ``st`` with a field ``<field><i>`` per column i
+    of :func:`stacked_stats` (NULL for empty input). It pivots a table of ``n``
+    rows, so it is bounded by the column count and can be attached as a scalar
+    subquery; rows then read plain struct fields."""
+    return stats_df.agg(F.struct(*[
+        F.max(F.when(F.col("idx") == F.lit(i), F.col(f))).alias(f"{f}{i}")
+        for i in range(n) for f in fields]).alias("st"))
+
+
 def build(spec: Agg) -> Column:
     fn, c = spec.fn, spec.col
     if fn == "mean":

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config as C
+from ..functions import aggs as A
 from ..functions import expr as X
 
 # ---------------------------------------------------------------------------
@@ -99,14 +100,14 @@ class ConstantImputer(Transformer, HasInputCols, DefaultParamsReadable, DefaultP
 
 def standardise_batch(df: DataFrame, cols, suffix: str = "") -> DataFrame:
     """(x - mean) / std_pop with the statistics of ``df`` itself; a constant
-    column is divided by 1. Statistics are one scalar subquery, no collect."""
+    column is divided by 1. Statistics are one stacked aggregate attached as a
+    scalar subquery, no collect."""
     cols = list(cols)
     if not cols:
         return df
     tmp = "__std_stats"
-    out = X.attach_scalar(df, tmp, df.agg(F.struct(*[f for i, c in enumerate(cols) for f in (
-        F.avg(F.col(c).cast("double")).alias(f"a{i}"),
-        F.stddev_pop(F.col(c).cast("double")).alias(f"s{i}"))]).alias("st")))
+    stats = A.stacked_stats(df, cols, a=F.avg, s=F.stddev_pop)
+    out = X.attach_scalar(df, tmp, A.packed_stats(stats, ["a", "s"], len(cols)))
     st = F.col(tmp)
     new = {}
     for i, c in enumerate(cols):
@@ -118,7 +119,7 @@ def standardise_batch(df: DataFrame, cols, suffix: str = "") -> DataFrame:
 class PopulationStandardScaler(Estimator, HasInputCols, HasOutputCols,
                                DefaultParamsReadable, DefaultParamsWritable):
     """Per-column z-score with population std (Spark ML's scaler uses the
-    sample std). Fit = one global aggregate returning one row."""
+    sample std). Fit = one stacked aggregate, one row per column."""
 
     @keyword_only
     def __init__(self, *, inputCols=None, outputCols=None):
@@ -130,13 +131,11 @@ class PopulationStandardScaler(Estimator, HasInputCols, HasOutputCols,
         outs = self.getOutputCols() if self.isDefined(self.outputCols) else cols
         means, scales = [], []
         if cols:
-            aggs = []
-            for i, c in enumerate(cols):
-                x = F.col(c).cast("double")
-                aggs += [F.avg(x).alias(f"a{i}"), F.stddev_pop(x).alias(f"s{i}")]
-            row = df.agg(*aggs).first()
+            # bounded: one row per column
+            rows = {r["idx"]: r for r in A.stacked_stats(df, cols, a=F.avg, s=F.stddev_pop).collect()}
             for i in range(len(cols)):
-                m, s = row[f"a{i}"], row[f"s{i}"]
+                r = rows.get(i)
+                m, s = (r["a"], r["s"]) if r is not None else (None, None)
                 means.append(float(m) if m is not None else 0.0)
                 scales.append(float(s) if s not in (None, 0.0) and s == s else 1.0)
         return PopulationStandardScalerModel(inputCols=cols, outputCols=outs,

@@ -2,13 +2,15 @@
 
 Two forms:
 
-* ``log_transform_skewed(df)`` -- batch form. Skewness, minimum and count of
-  every candidate column come from one global aggregate that is attached as a
-  single scalar subquery (``DataFrame.scalar()``): Spark runs it once, reuses
-  the shuffles it shares with the main plan (``ReusedExchange``) and inlines
-  the values as literals, so the row-wise part stays one codegen'd projection.
-  No cross join, no collect.
-* ``SkewLogEstimator`` / ``SkewLogModel`` -- fit once (one-row stats), then
+* ``log_transform_skewed(df)`` -- batch form. Skewness and minimum of every
+  candidate column come from one stacked aggregate (one row per column),
+  packed into one array and attached as a single scalar subquery
+  (``DataFrame.scalar()``): Spark runs it once, reuses the shuffles it shares
+  with the main plan (``ReusedExchange``) and inlines the value as a literal,
+  so the row-wise part stays one codegen'd projection. No cross join, no
+  collect.
+* ``SkewLogEstimator`` / ``SkewLogModel`` -- fit once (bounded stats, one row
+  per column), then
   apply the stored choice to any later batch. This is the form for scoring,
   where the batch form would pick columns from whoever is in the batch.
 """
@@ -38,14 +40,10 @@ def candidate_columns(df: DataFrame, exclude=None, columns=None) -> list[str]:
             if isinstance(f.dataType, T.NumericType) and f.name not in ex]
 
 
-def _stats_struct(cols) -> Column:
-    fields = []
-    for i, c in enumerate(cols):
-        fields += [
-            A.skewness_unbiased(c).alias(f"s{i}"),
-            F.min(X.col(c).cast("double")).alias(f"m{i}"),
-        ]
-    return F.struct(*fields)
+def column_stats(df: DataFrame, cols) -> DataFrame:
+    """One row per candidate column (``idx`` = position in ``cols``): bias-corrected
+    skewness and minimum, from one stacked pass (:func:`aggs.stacked_stats`)."""
+    return A.stacked_stats(df, cols, skew=A.skewness_unbiased, mn=F.min)
 
 
 def skew_selected(skewness: Column, threshold: float) -> Column:
@@ -76,10 +74,10 @@ def log_transform_skewed(df: DataFrame, threshold=C.SKEW_THRESHOLD, exclude=None
         rest = [c for c in cols if c not in chosen]
         return out.withColumns({c: X.col(c).cast("double") for c in rest}) if rest else out
     tmp = "__skew_stats"
-    out = X.attach_scalar(df, tmp, df.agg(_stats_struct(cols).alias("st")))
+    out = X.attach_scalar(df, tmp, A.packed_stats(column_stats(df, cols), ["skew", "mn"], len(cols)))
     new = {}
     for i, c in enumerate(cols):
-        sk, mn = F.col(tmp)[f"s{i}"], F.col(tmp)[f"m{i}"]
+        sk, mn = F.col(tmp)[f"skew{i}"], F.col(tmp)[f"mn{i}"]
         old = X.col(c).cast("double")
         logged = X.overwrite_non_null(X.log_transform(c, mn, shift), old)
         new[c] = F.when(skew_selected(sk, threshold), logged).otherwise(old)
@@ -93,18 +91,20 @@ def skew_report(df: DataFrame, threshold=C.SKEW_THRESHOLD, exclude=None,
     Sorted by skewness, highest first (the printed list of the original).
     """
     cols = candidate_columns(df, exclude, columns)
-    rows = []
-    for c in cols:
-        x = X.col(c).cast("double")
-        sk = A.skewness_unbiased(c)
-        fields = [F.lit(c).alias("column_name"), sk.alias("skewness"),
-                  F.min(x).alias("min_value"), F.count(x).alias("n"),
-                  skew_selected(sk, threshold).alias("selected")]
-        if table_name is not None:
-            fields.insert(0, F.lit(table_name).alias("table_name"))
-        rows.append(F.struct(*fields))
-    out = df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
-    return out.orderBy(F.desc_nulls_last("skewness"))
+    names = F.array(*[F.lit(c) for c in cols])
+    stats = A.stacked_stats(df, cols, skewness=A.skewness_unbiased, min_value=F.min, n=F.count)
+    # one row per column even when ``df`` is empty (then no stats row matches)
+    packed = stats.agg(F.array_sort(F.collect_list(
+        F.struct("idx", "skewness", "min_value", "n"))).alias("st"))
+    rows = packed.select(F.posexplode(names).alias("idx", "column_name"), "st")
+    st = F.get(F.col("st"), F.col("idx"))
+    fields = [F.col("column_name"), st["skewness"].alias("skewness"),
+              st["min_value"].alias("min_value"),
+              F.coalesce(st["n"], F.lit(0).cast("long")).alias("n"),
+              skew_selected(st["skewness"], threshold).alias("selected")]
+    if table_name is not None:
+        fields.insert(0, F.lit(table_name).alias("table_name"))
+    return rows.select(*fields).orderBy(F.desc_nulls_last("skewness"))
 
 
 # ---------------------------------------------------------------------------
@@ -133,10 +133,12 @@ class SkewLogEstimator(Estimator, _SkewParams, DefaultParamsReadable, DefaultPar
     def _fit(self, df: DataFrame) -> "SkewLogModel":
         cols = self.getInputCols()
         thr = self.getOrDefault(self.threshold)
-        row = df.agg(_stats_struct(cols).alias("st")).first()["st"] if cols else None
+        # bounded: one row per column
+        rows = {r["idx"]: r for r in column_stats(df, cols).collect()} if cols else {}
         chosen, minima = [], []
         for i, c in enumerate(cols):
-            sk, mn = row[f"s{i}"], row[f"m{i}"]
+            r = rows.get(i)
+            sk, mn = (r["skew"], r["mn"]) if r is not None else (None, None)
             if sk is not None and sk == sk and abs(sk) > thr:
                 chosen.append(c)
                 minima.append(float(mn) if mn is not None else 0.0)

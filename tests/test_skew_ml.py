@@ -105,3 +105,31 @@ def test_feature_roles_skip_binned_modes(spark):
     num, cat = ML.feature_roles(df)
     assert num == ["x"] and cat == ["s"]
     assert ML.feature_roles(df, include_binned_modes=True)[1] == ["s", "PREV_D_BINNED_MODE"]
+
+
+def test_stacked_stats_match_pandas(skewed):
+    from pyspark.sql import functions as F
+
+    from loanlens.functions import aggs as A
+
+    df, pdf = skewed
+    cols = ["pos", "neg", "flat"]
+    rows = {r.idx: r for r in A.stacked_stats(df, cols, skew=A.skewness_unbiased, mn=F.min,
+                                               n=F.count, sd=F.stddev_pop).collect()}
+    assert sorted(rows) == [0, 1, 2]
+    for i, c in enumerate(cols):
+        s = pdf[c].dropna()
+        assert rows[i].n == len(s)
+        assert rows[i].mn == s.min()
+        assert rows[i].skew == pytest.approx(s.skew(), rel=1e-9)
+        assert rows[i].sd == pytest.approx(s.std(ddof=0), rel=1e-9)
+
+
+def test_report_on_empty_frame_lists_every_column(skewed):
+    df, _ = skewed
+    rep = SK.skew_report(df.limit(0), exclude=["id"]).collect()
+    assert sorted(r.column_name for r in rep) == ["flat", "neg", "pos"]
+    assert all(r.n == 0 and r.skewness is None and not r.selected for r in rep)
+    # batch transform of an empty frame keeps the schema, selects nothing
+    out = SK.log_transform_skewed(df.limit(0), exclude=["id"])
+    assert out.count() == 0 and out.columns == df.columns
