@@ -86,33 +86,57 @@ def skewness_unbiased(c) -> Column:
     return F.when(n >= F.lit(3.0), g1 * F.sqrt(n * (n - F.lit(1.0))) / (n - F.lit(2.0)))
 
 
+# Below this many columns one global aggregate per column set is cheaper (one
+# exchange fewer); from here on its generated code gets too large.
+STACK_MIN_COLUMNS = 24
+
+
 def stacked_stats(df, cols, **stats) -> "DataFrame":
     """Per-column statistics of many columns in one pass, one row per column.
 
-    Every input row is stacked into ``(idx, x)`` pairs inside the scan's
-    pipeline and aggregated by ``idx``: the aggregate has a handful of
-    functions whatever the column count, so its generated code stays small
-    (one global ``agg`` with hundreds of moment aggregates outgrows the JVM
-    method limit and falls back to slow interpreted evaluation), and the
-    partial aggregate holds one small buffer per column. ``stats`` maps an
-    output name to a function of the double-typed ``x`` column. Every column
-    index is present as soon as ``df`` has a row (NULL values count as absent
-    in every aggregate).
+    ``stats`` maps an output name to a function of a double column; the result
+    has ``idx`` (position in ``cols``) and one field per statistic, and a row
+    for every column even when ``df`` is empty. Wide inputs are stacked into
+    ``(idx, x)`` pairs inside the scan's pipeline and aggregated by ``idx``:
+    the aggregate has a handful of functions whatever the column count, so its
+    generated code stays small (one global ``agg`` with hundreds of moment
+    aggregates outgrows the JVM method limit and falls back to slow
+    interpreted evaluation), and the partial aggregate holds one small buffer
+    per column. Narrow inputs (fewer than ``STACK_MIN_COLUMNS``) use one global
+    aggregate, unpacked to the same rows. NULL values count as absent; a count
+    over an empty wide input is NULL rather than 0.
     """
+    cols = list(cols)
+    if len(cols) < STACK_MIN_COLUMNS:
+        per_col = F.array(*[
+            F.struct(F.lit(i).alias("idx"),
+                     *[fn(X.col(c).cast("double")).alias(name) for name, fn in stats.items()])
+            for i, c in enumerate(cols)])
+        return df.agg(per_col.alias("r")).select(F.inline("r"))
     pairs = F.array(*[F.struct(F.lit(i).alias("idx"), X.col(c).cast("double").alias("x"))
                       for i, c in enumerate(cols)])
-    return (df.select(F.inline(pairs))
-              .groupBy("idx").agg(*[fn(F.col("x")).alias(name) for name, fn in stats.items()]))
-
-
-def packed_stats(stats_df, fields, n: int) -> "DataFrame":
-    """One row, one struct column ``st`` with a field ``<field><i>`` per column i
-    of :func:`stacked_stats` (NULL for empty input). It pivots a table of ``n``
-    rows, so it is bounded by the column count and can be attached as a scalar
-    subquery; rows then read plain struct fields."""
-    return stats_df.agg(F.struct(*[
-        F.max(F.when(F.col("idx") == F.lit(i), F.col(f))).alias(f"{f}{i}")
-        for i in range(n) for f in fields]).alias("st"))
+    per_col = (df.select(F.inline(pairs))
+                 .groupBy("idx").agg(*[fn(F.col("x")).alias(name) for name, fn in stats.items()]))
+    # Empty input leaves no groups: join the (at most one row per column)
+    # result onto the column indices, so every column still has its row.
+    every = df.sparkSession.createDataFrame([(i,) for i in range(len(cols))], "idx int")
+    return every.join(per_col, "idx", "left")
+
+
+def stats_struct(df, cols, **stats) -> "DataFrame":
+    """One row, one struct column ``st`` with a field ``<name><i>`` per statistic
+    and column i, for attaching as a scalar subquery (rows then read plain
+    struct fields). Narrow inputs: one global aggregate. Wide inputs: the
+    stacked statistics (one row per column) pivoted -- bounded by the column
+    count."""
+    cols = list(cols)
+    if len(cols) < STACK_MIN_COLUMNS:
+        return df.agg(F.struct(*[fn(X.col(c).cast("double")).alias(f"{name}{i}")
+                                 for i, c in enumerate(cols)
+                                 for name, fn in stats.items()]).alias("st"))
+    per_col = stacked_stats(df, cols, **stats)
+    return per_col.agg(F.struct(*[F.max(F.when(F.col("idx") == F.lit(i), F.col(name))).alias(f"{name}{i}")
+                                  for i in range(len(cols)) for name in stats]).alias("st"))
 
 
 def build(spec: Agg) -> Column:

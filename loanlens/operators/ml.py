@@ -100,14 +100,13 @@ class ConstantImputer(Transformer, HasInputCols, DefaultParamsReadable, DefaultP
 
 def standardise_batch(df: DataFrame, cols, suffix: str = "") -> DataFrame:
     """(x - mean) / std_pop with the statistics of ``df`` itself; a constant
-    column is divided by 1. Statistics are one stacked aggregate attached as a
-    scalar subquery, no collect."""
+    column is divided by 1. Statistics are one aggregate attached as a scalar
+    subquery (:func:`aggs.stats_struct`), no collect."""
     cols = list(cols)
     if not cols:
         return df
     tmp = "__std_stats"
-    stats = A.stacked_stats(df, cols, a=F.avg, s=F.stddev_pop)
-    out = X.attach_scalar(df, tmp, A.packed_stats(stats, ["a", "s"], len(cols)))
+    out = X.attach_scalar(df, tmp, A.stats_struct(df, cols, a=F.avg, s=F.stddev_pop))
     st = F.col(tmp)
     new = {}
     for i, c in enumerate(cols):

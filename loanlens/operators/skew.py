@@ -3,16 +3,15 @@
 Two forms:
 
 * ``log_transform_skewed(df)`` -- batch form. Skewness and minimum of every
-  candidate column come from one stacked aggregate (one row per column),
-  packed into one array and attached as a single scalar subquery
-  (``DataFrame.scalar()``): Spark runs it once, reuses the shuffles it shares
-  with the main plan (``ReusedExchange``) and inlines the value as a literal,
-  so the row-wise part stays one codegen'd projection. No cross join, no
-  collect.
+  candidate column come from one aggregate (:func:`aggs.stats_struct`),
+  attached as a single scalar subquery (``DataFrame.scalar()``): Spark runs
+  it once, reuses the shuffles it shares with the main plan
+  (``ReusedExchange``) and inlines the value as a literal, so the row-wise
+  part stays one codegen'd projection. No cross join, no collect.
 * ``SkewLogEstimator`` / ``SkewLogModel`` -- fit once (bounded stats, one row
-  per column), then
-  apply the stored choice to any later batch. This is the form for scoring,
-  where the batch form would pick columns from whoever is in the batch.
+  per column), then apply the stored choice to any later batch. This is the
+  form for scoring, where the batch form would pick columns from whoever is
+  in the batch.
 """
 
 from __future__ import annotations
@@ -42,7 +41,7 @@ def candidate_columns(df: DataFrame, exclude=None, columns=None) -> list[str]:
 
 def column_stats(df: DataFrame, cols) -> DataFrame:
     """One row per candidate column (``idx`` = position in ``cols``): bias-corrected
-    skewness and minimum, from one stacked pass (:func:`aggs.stacked_stats`)."""
+    skewness and minimum in one pass (:func:`aggs.stacked_stats`)."""
     return A.stacked_stats(df, cols, skew=A.skewness_unbiased, mn=F.min)
 
 
@@ -74,7 +73,7 @@ def log_transform_skewed(df: DataFrame, threshold=C.SKEW_THRESHOLD, exclude=None
         rest = [c for c in cols if c not in chosen]
         return out.withColumns({c: X.col(c).cast("double") for c in rest}) if rest else out
     tmp = "__skew_stats"
-    out = X.attach_scalar(df, tmp, A.packed_stats(column_stats(df, cols), ["skew", "mn"], len(cols)))
+    out = X.attach_scalar(df, tmp, A.stats_struct(df, cols, skew=A.skewness_unbiased, mn=F.min))
     new = {}
     for i, c in enumerate(cols):
         sk, mn = F.col(tmp)[f"skew{i}"], F.col(tmp)[f"mn{i}"]
@@ -93,18 +92,12 @@ def skew_report(df: DataFrame, threshold=C.SKEW_THRESHOLD, exclude=None,
     cols = candidate_columns(df, exclude, columns)
     names = F.array(*[F.lit(c) for c in cols])
     stats = A.stacked_stats(df, cols, skewness=A.skewness_unbiased, min_value=F.min, n=F.count)
-    # one row per column even when ``df`` is empty (then no stats row matches)
-    packed = stats.agg(F.array_sort(F.collect_list(
-        F.struct("idx", "skewness", "min_value", "n"))).alias("st"))
-    rows = packed.select(F.posexplode(names).alias("idx", "column_name"), "st")
-    st = F.get(F.col("st"), F.col("idx"))
-    fields = [F.col("column_name"), st["skewness"].alias("skewness"),
-              st["min_value"].alias("min_value"),
-              F.coalesce(st["n"], F.lit(0).cast("long")).alias("n"),
-              skew_selected(st["skewness"], threshold).alias("selected")]
+    fields = [F.get(names, F.col("idx")).alias("column_name"), "skewness", "min_value",
+              F.coalesce(F.col("n"), F.lit(0).cast("long")).alias("n"),
+              skew_selected(F.col("skewness"), threshold).alias("selected")]
     if table_name is not None:
         fields.insert(0, F.lit(table_name).alias("table_name"))
-    return rows.select(*fields).orderBy(F.desc_nulls_last("skewness"))
+    return stats.select(*fields).orderBy(F.desc_nulls_last("skewness"))
 
 
 # ---------------------------------------------------------------------------

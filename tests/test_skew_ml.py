@@ -133,3 +133,26 @@ def test_report_on_empty_frame_lists_every_column(skewed):
     # batch transform of an empty frame keeps the schema, selects nothing
     out = SK.log_transform_skewed(df.limit(0), exclude=["id"])
     assert out.count() == 0 and out.columns == df.columns
+
+
+def test_stacked_path_wide_frame(skewed):
+    """30 columns take the stacked path: same statistics, every column listed
+    for an empty frame too."""
+    from pyspark.sql import functions as F
+
+    from loanlens.functions import aggs as A
+
+    df, pdf = skewed
+    names = [f"p{i}" for i in range(30)]
+    wide = df.select("id", *[(F.col("pos") + F.lit(float(i))).alias(n) for i, n in enumerate(names)])
+    assert len(names) >= A.STACK_MIN_COLUMNS
+    rep = {r.column_name: r for r in SK.skew_report(wide, exclude=["id"]).collect()}
+    assert sorted(rep) == sorted(names)
+    assert rep["p3"].skewness == pytest.approx(pdf["pos"].skew(), rel=1e-9)
+    assert rep["p3"].min_value == pytest.approx(pdf["pos"].min() + 3.0)
+    empty = SK.skew_report(wide.limit(0), exclude=["id"]).collect()
+    assert len(empty) == 30 and all(r.n == 0 and not r.selected for r in empty)
+    got = SK.log_transform_skewed(wide, exclude=["id"]).select("id", "p0").toPandas()
+    exp = pandas_reference(pdf[["id", "pos"]], ["id"])
+    got = got.sort_values("id")["p0"].to_numpy()
+    np.testing.assert_allclose(got, exp.sort_values("id")["pos"].to_numpy(), rtol=1e-12, equal_nan=True)
