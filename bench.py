@@ -25,6 +25,9 @@ HEADLINE = [
     "mode_binned", "mode_text", "group_null_key", "impute_constants", "filter_ge_drop_null",
     "skew_report", "skew_log_positive", "skew_log_shifted", "standardise", "one_hot",
     "row_median", "bin_days", "auc_rank", "f1_threshold",
+    # standalone marts and cleaning steps (added in round 1 after the first bench)
+    "feature_mart", "prev_mart", "card_mart", "pos_mart", "row_features", "clean_previous",
+    "clean_application",
 ]
 
 
