@@ -69,9 +69,22 @@ def mode_text(c) -> Column:
 
 
 def mode_ordinal(c, labels) -> Column:
-    """Mode of an ordered label column; ties -> lowest position in ``labels``."""
-    idx = F.mode(X.label_to_index(c, labels), True)
-    return X.index_to_label(idx, labels)
+    """Mode of an ordered label column; ties -> lowest position in ``labels``;
+    no known label -> NULL.
+
+    The label set is fixed and small, so each label gets a plain counter
+    (``count_if``) and the winner is decoded from ``count * k + (k - 1 - i)``:
+    a larger count wins, then a lower position. Fixed-width buffers keep the
+    roll-up a Tungsten hash aggregate (no per-group object map, no
+    sort-based fallback), and a hot key costs k counters per map task.
+    """
+    labels = list(labels)
+    k = len(labels)
+    idx = X.label_to_index(c, labels)
+    code = F.greatest(*[F.count_if(idx == F.lit(i)) * F.lit(k) + F.lit(k - 1 - i)
+                        for i in range(k)])
+    pos = F.when(code >= F.lit(k), F.lit(k - 1) - (code % F.lit(k)))
+    return X.index_to_label(pos.cast("int"), labels)
 
 
 def skewness_unbiased(c) -> Column:

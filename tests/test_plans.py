@@ -40,3 +40,10 @@ def test_two_level_rollup_shape(spark):
 def test_skew_stats_are_a_subquery_not_a_join(spark):
     plan = plan_of(E.queries()["skew_log_positive"](spark, SF0001))
     assert "Subquery" in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("name", ["mode_binned", "prev_mart"])
+def test_ordinal_modes_use_plain_hash_aggregation(spark, name):
+    # the bin-label modes are per-label counters: fixed-width buffers only
+    plan = plan_of(E.queries()[name](spark, SF0001))
+    assert "ObjectHashAggregate" not in plan and "SortAggregate" not in plan

@@ -79,3 +79,23 @@ def test_rollup_invariants(spark, rows):
             assert g.mode == min(x for x in c if c[x] == top)
         else:
             assert g.mode is None
+
+
+bins = st.one_of(st.none(), st.sampled_from(C.DAY_BIN_LABELS + ["unknown"]))
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.integers(0, 4), bins), min_size=1, max_size=60))
+def test_mode_ordinal_brute_force(spark, rows):
+    """Counter-based ordinal mode = most rows, ties -> lowest bin position;
+    unknown labels and NULL never count; none left -> NULL."""
+    df = spark.createDataFrame(rows, "k long, b string")
+    out = M.rollup(df, "k", [Agg("m", "mode_ordinal", "b", tuple(C.DAY_BIN_LABELS))])
+    got = {r.k: r.m for r in out.collect()}
+    for k in {k for k, _ in rows}:
+        c = Counter(b for kk, b in rows if kk == k and b in C.DAY_BIN_LABELS)
+        if not c:
+            assert got[k] is None
+        else:
+            top = max(c.values())
+            assert got[k] == min((x for x in c if c[x] == top), key=C.DAY_BIN_LABELS.index)
