@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.aggs import Agg, build_all
+from ..functions.aggs import Agg, build, build_all, nunique
 from . import clean as CL
 from . import skew as SK
 
@@ -111,21 +111,34 @@ def distinct_counts(df: DataFrame, key: str, specs) -> DataFrame:
                                       for i, s in enumerate(specs)])
 
 
-def rollup(df: DataFrame, key: str, specs, distinct: str = "separate") -> DataFrame:
+def rollup(df: DataFrame, key: str, specs, distinct: str = "auto") -> DataFrame:
     """One row per non-NULL key with the features in ``specs`` (E1 + E2..E9).
 
-    ``distinct="separate"`` computes the distinct counts in their own narrow
-    pass (:func:`distinct_counts`) and joins them on the key -- both sides come
-    out hash-partitioned on the key, so the join adds no exchange. The main
-    aggregate then stays a plain partial/final hash aggregate. ``"native"``
-    leaves them to Spark's distinct-aggregate rewrite, which shuffles every
-    aggregate buffer keyed by (key, distinct value).
+    Distinct counts (``nunique``/``nunique_small``) are planned by count:
+
+    * one distinct column (``"auto"`` -> native): ``count_distinct`` inside
+      the same ``agg``. Spark plans it as partial aggregation by
+      ``(key, value)``, an exchange on ``(key, value)`` (a hot key spreads over
+      its values), then partial/final by key: one pass over the input, so an
+      expensive input (a join) is computed once.
+    * several (``"auto"`` -> separate): the counts run in their own narrow pass
+      (:func:`distinct_counts`) joined back on the key -- both sides come out
+      hash-partitioned on the key, so the join adds no exchange. Spark's own
+      plan for several distinct columns copies every input row once per
+      column (``Expand``); locally the three-distinct bureau mart took 4.9 s
+      that way against 3.7 s here (10x the driver's sf0.1 tables).
     """
     df = df.filter(F.col(key).isNotNull())
     specs = list(specs)
     dspecs = [s for s in specs if s.fn in _DISTINCT]
-    if distinct == "native" or not dspecs:
+    if distinct == "auto":
+        distinct = "native" if len(dspecs) == 1 else "separate"
+    if not dspecs:
         return df.groupBy(key).agg(*build_all(specs))
+    if distinct == "native":
+        return df.groupBy(key).agg(*[
+            nunique(s.col).alias(s.out) if s.fn in _DISTINCT and len(dspecs) == 1 else build(s)
+            for s in specs])
     others = [s for s in specs if s.fn not in _DISTINCT]
     if others:
         main = df.groupBy(key).agg(*build_all(others))

@@ -47,3 +47,11 @@ def test_ordinal_modes_use_plain_hash_aggregation(spark, name):
     # the bin-label modes are per-label counters: fixed-width buffers only
     plan = plan_of(E.queries()[name](spark, SF0001))
     assert "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
+
+
+def test_single_distinct_rollup_reads_its_input_once(spark):
+    # one distinct column: Spark's single-distinct plan over one pass, so the
+    # lineitem x orders join under the instalment mart runs once
+    plan = plan_of(E.queries()["instalment_mart"](spark, SF0001))
+    assert plan.count("lineitem.parquet") == 1 and plan.count("orders.parquet") == 1
+    assert "Expand" not in plan
