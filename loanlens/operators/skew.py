@@ -56,10 +56,11 @@ def log_transform_skewed(df: DataFrame, threshold=C.SKEW_THRESHOLD, exclude=None
     """Batch G1: log-transform every candidate column with abs(skewness) > threshold.
 
     Candidate columns come out as double; a NULL result keeps the old value.
-    ``materialize`` checkpoints ``df`` first (use it when ``df`` is an expensive
-    plan such as the joined mart): the one-row statistics are then read off
-    the checkpoint and inlined as literals, so only the chosen columns carry a
-    log expression and the rows are read once more.
+    ``materialize`` writes ``df`` first as a table in the shared checkpoint
+    folder (use it when ``df`` is an expensive plan such as the joined mart):
+    the per-column statistics are then read off that table (numeric columns
+    only) and inlined as literals, so only the chosen columns carry a log
+    expression and the rows are read once more.
     """
     cols = candidate_columns(df, exclude, columns)
     if not cols:

@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import SparkSession
+from pyspark.sql import types as T
 
 # Settings every job here relies on. AQE re-plans joins and coalesces
 # partitions at runtime; the skew-join split protects the left-join chain
@@ -83,8 +84,20 @@ _counter = _count()
 
 
 def materialize(df):
-    """Compute ``df`` once and cut its lineage: a reliable checkpoint in the
-    shared checkpoint folder (survives executor loss, unlike a local or cached
-    copy). Use before a frame is read twice, e.g. statistics + rows."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute ``df`` once and cut its lineage. Use before a frame is read
+    twice, e.g. statistics + rows.
+
+    The rows are written as a Parquet table in a fresh sub-folder of the
+    shared checkpoint folder and read back: it survives executor loss (unlike
+    a cached or local copy), is compressed and columnar, and a later pass
+    that needs a few columns (the statistics) reads only those. A frame
+    Parquet cannot hold (a NULL-typed column) gets a reliable checkpoint in
+    the same folder instead.
+    """
+    spark = df.sparkSession
+    if any(isinstance(f.dataType, T.NullType) for f in df.schema.fields):
+        checkpoint_dir(spark)
+        return df.checkpoint(eager=True)
+    path = scratch_path(spark, "table")
+    df.write.parquet(path)
+    return spark.read.parquet(path)
