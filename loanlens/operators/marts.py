@@ -80,6 +80,9 @@ BUREAU_SPEC = [_bureau_agg(c, h) for c, h in C.BUREAU_AGGREGATIONS]
 # ---------------------------------------------------------------------------
 
 _DISTINCT = ("nunique", "nunique_small")
+# aggregates whose buffer is an object (Spark's ``mode``): the native distinct
+# plan would keep one per (key, value) group instead of one per key
+_OBJECT_BUFFER = ("mode",)
 
 
 def distinct_counts(df: DataFrame, key: str, specs) -> DataFrame:
@@ -116,12 +119,13 @@ def rollup(df: DataFrame, key: str, specs, distinct: str = "auto") -> DataFrame:
 
     Distinct counts (``nunique``/``nunique_small``) are planned by count:
 
-    * one distinct column (``"auto"`` -> native): ``count_distinct`` inside
-      the same ``agg``. Spark plans it as partial aggregation by
-      ``(key, value)``, an exchange on ``(key, value)`` (a hot key spreads over
-      its values), then partial/final by key: one pass over the input, so an
-      expensive input (a join) is computed once.
-    * several (``"auto"`` -> separate): the counts run in their own narrow pass
+    * one distinct column and only fixed-width buffers (``"auto"`` -> native):
+      ``count_distinct`` inside the same ``agg``. Spark plans it as partial
+      aggregation by ``(key, value)``, an exchange on ``(key, value)`` (a hot
+      key spreads over its values), then partial/final by key: one pass over
+      the input, so an expensive input (a join) is computed once.
+    * several, or a text mode in the spec (``"auto"`` -> separate): the counts
+      run in their own narrow pass
       (:func:`distinct_counts`) joined back on the key -- both sides come out
       hash-partitioned on the key, so the join adds no exchange. Spark's own
       plan for several distinct columns copies every input row once per
@@ -132,7 +136,8 @@ def rollup(df: DataFrame, key: str, specs, distinct: str = "auto") -> DataFrame:
     specs = list(specs)
     dspecs = [s for s in specs if s.fn in _DISTINCT]
     if distinct == "auto":
-        distinct = "native" if len(dspecs) == 1 else "separate"
+        fixed_width = not any(s.fn in _OBJECT_BUFFER for s in specs)
+        distinct = "native" if len(dspecs) == 1 and fixed_width else "separate"
     if not dspecs:
         return df.groupBy(key).agg(*build_all(specs))
     if distinct == "native":
