@@ -83,9 +83,11 @@ def roc_auc(df: DataFrame, score_col: str, label_col: str,
 def f1_by_threshold(df: DataFrame, score_col: str, label_col: str,
                     rows_per_bucket: int = 1_000_000) -> DataFrame:
     """F1 at every distinct score used as threshold (predict 1 iff score >= t)."""
-    pc = prefix_counts(score_label_counts(df, score_col, label_col), rows_per_bucket)
-    pc = X.attach_scalar(pc, "__tot", pc.agg(F.struct(F.sum("pos").alias("P"),
-                                                     F.sum("neg").alias("N"))))
+    counts = score_label_counts(df, score_col, label_col)
+    pc = prefix_counts(counts, rows_per_bucket)
+    # totals straight from the per-score counts (no windows in the subquery)
+    pc = X.attach_scalar(pc, "__tot", counts.agg(F.struct(F.sum("pos").alias("P"),
+                                                         F.sum("neg").alias("N"))))
     tp = F.col("__tot.P") - F.col("pos_before")
     fp = F.col("__tot.N") - F.col("neg_before")
     fn = F.col("pos_before")
