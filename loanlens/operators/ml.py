@@ -261,6 +261,11 @@ def train_classifier(df: DataFrame, *, key=C.APP_KEY, label=C.LABEL, numeric=Non
     Returns one PipelineModel whose output has ``score`` (P(class 1)) and
     ``prediction`` (hard label).
     """
+    # GBT checkpoints its state every 10 iterations only when the context has
+    # a checkpoint folder: register the shared one (executor loss then replays
+    # at most 10 rounds)
+    from ..session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
     if numeric is None or categorical is None:
         n, c = feature_roles(df, key=key, label=label)
         numeric = n if numeric is None else numeric
