@@ -100,11 +100,17 @@ class ConstantImputer(Transformer, HasInputCols, DefaultParamsReadable, DefaultP
 
 def standardise_batch(df: DataFrame, cols, suffix: str = "") -> DataFrame:
     """(x - mean) / std_pop with the statistics of ``df`` itself; a constant
-    column is divided by 1. Statistics are one aggregate attached as a scalar
-    subquery (:func:`aggs.stats_struct`), no collect."""
+    column is divided by 1. Narrow: statistics are one aggregate attached as a
+    scalar subquery (:func:`aggs.stats_struct`), no collect. Wide: the fitted
+    scaler (bounded per-column statistics collected, then literals)."""
     cols = list(cols)
     if not cols:
         return df
+    if len(cols) >= A.STACK_MIN_COLUMNS:
+        # wide: bounded per-column stats to the driver, literals per row
+        # (a wide stats struct attached to every row costs more)
+        return PopulationStandardScaler(inputCols=cols, outputCols=[c + suffix for c in cols]) \
+            .fit(df).transform(df)
     tmp = "__std_stats"
     out = X.attach_scalar(df, tmp, A.stats_struct(df, cols, a=F.avg, s=F.stddev_pop))
     st = F.col(tmp)

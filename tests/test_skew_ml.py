@@ -156,3 +156,19 @@ def test_stacked_path_wide_frame(skewed):
     exp = pandas_reference(pdf[["id", "pos"]], ["id"])
     got = got.sort_values("id")["p0"].to_numpy()
     np.testing.assert_allclose(got, exp.sort_values("id")["pos"].to_numpy(), rtol=1e-12, equal_nan=True)
+
+
+def test_standardise_batch_wide_equals_narrow(spark, skewed):
+    from pyspark.sql import functions as F
+
+    df, _ = skewed
+    names = [f"p{i}" for i in range(30)]
+    wide = df.select("id", *[(F.col("pos") * F.lit(float(i + 1))).alias(n) for i, n in enumerate(names)])
+    w = ML.standardise_batch(wide, names, suffix="_z").select("id", "p0_z", "p29_z")
+    n = ML.standardise_batch(wide, ["p0", "p29"], suffix="_z").select("id", "p0_z", "p29_z")
+    a = sorted(map(tuple, w.collect()), key=lambda r: r[0])
+    b = sorted(map(tuple, n.collect()), key=lambda r: r[0])
+    for x, y in zip(a, b):
+        assert x[0] == y[0]
+        for u, v in zip(x[1:], y[1:]):
+            assert (u is None and v is None) or u == pytest.approx(v, rel=1e-12, abs=1e-12)
