@@ -31,12 +31,7 @@ KEY_OF = {"customer": "c_custkey", "orders": "o_orderkey", "events": "event_id",
           "documents": "doc_id", "part": "p_partkey"}
 
 
-def main():
-    args = [a for a in sys.argv[1:] if not a.startswith("--")]
-    src, out = args[0], args[1]
-    copies = int(args[2]) if len(args) > 2 else 10
-    hot = "--hot" in sys.argv
-    spark = get_spark("local[8]", 8)
+def scale_tables(spark, src: str, out: str, copies: int = 10, hot: bool = False) -> None:
     span = {t: spark.read.parquet(f"{src}/{t}.parquet").agg(F.max(k) + 1).first()[0]
             for t, k in KEY_OF.items()}
     for t, shifts in SHIFTS.items():
@@ -55,6 +50,13 @@ def main():
                 F.xxhash64("l_orderkey", "l_linenumber") % 3 == 0, F.lit(0))
                 .otherwise(F.col("l_orderkey")).cast("long"))
         df.repartition(8).write.mode("overwrite").parquet(f"{out}/{t}.parquet")
+
+
+def main():
+    args = [a for a in sys.argv[1:] if not a.startswith("--")]
+    spark = get_spark("local[8]", 8)
+    scale_tables(spark, args[0], args[1], int(args[2]) if len(args) > 2 else 10,
+                 hot="--hot" in sys.argv)
     spark.stop()
 
 
