@@ -6,7 +6,9 @@ distinct scores into one task; instead the distinct scores are cut into
 quantile buckets of similar size, bucket totals are prefix-summed over a table
 with one row per bucket (bounded), broadcast back (bounded), and the prefix
 inside a bucket is a window partitioned by bucket. Exact, and no task holds
-more than about one bucket's share of the distinct scores.
+more than about one bucket's share of the distinct scores. The per-score
+counts are written once to the shared checkpoint folder, so sizing the
+buckets does not re-run the aggregation over the scored rows.
 """
 
 from __future__ import annotations
@@ -31,6 +33,14 @@ def score_label_counts(df: DataFrame, score_col: str, label_col: str) -> DataFra
                    F.sum(F.when(lab == 1, 0).otherwise(1)).cast("long").alias("neg")))
 
 
+def materialized_counts(df: DataFrame, score_col: str, label_col: str) -> DataFrame:
+    """Per-score counts written once to the shared checkpoint folder: sizing
+    the buckets (count, quantiles) and the prefix pass then read this compact
+    table instead of re-running the aggregation over every scored row."""
+    from ..session import materialize
+    return materialize(score_label_counts(df, score_col, label_col))
+
+
 def _bucketize(counts: DataFrame, rows_per_bucket: int) -> DataFrame:
     """Bucket id by approximate quantiles of the distinct scores (B - 1 split
     points come back to the driver: bounded by the bucket count)."""
@@ -73,7 +83,7 @@ def prefix_counts(counts: DataFrame, rows_per_bucket: int = 1_000_000) -> DataFr
 def roc_auc(df: DataFrame, score_col: str, label_col: str,
             rows_per_bucket: int = 1_000_000) -> DataFrame:
     """One row: exact ROC-AUC (ties count one half), positives, negatives."""
-    pc = prefix_counts(score_label_counts(df, score_col, label_col), rows_per_bucket)
+    pc = prefix_counts(materialized_counts(df, score_col, label_col), rows_per_bucket)
     return pc.agg(
         (F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / F.lit(2.0)))
          / (F.sum("pos").cast("double") * F.sum("neg").cast("double"))).alias("auc"),
@@ -83,7 +93,7 @@ def roc_auc(df: DataFrame, score_col: str, label_col: str,
 def f1_by_threshold(df: DataFrame, score_col: str, label_col: str,
                     rows_per_bucket: int = 1_000_000) -> DataFrame:
     """F1 at every distinct score used as threshold (predict 1 iff score >= t)."""
-    counts = score_label_counts(df, score_col, label_col)
+    counts = materialized_counts(df, score_col, label_col)
     pc = prefix_counts(counts, rows_per_bucket)
     # totals straight from the per-score counts (no windows in the subquery)
     pc = X.attach_scalar(pc, "__tot", counts.agg(F.struct(F.sum("pos").alias("P"),
