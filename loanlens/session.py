@@ -50,19 +50,20 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    Read from ``spark.checkpoint.dir``; only when the session has none (local
-    tests) a fresh local folder is set, so cluster jobs always use the folder
-    the cluster names.
+    Read from ``spark.checkpoint.dir`` (or the folder already registered on
+    the SparkContext). Only when neither is set and the master is local
+    (tests) a fresh local folder is registered on the context; cluster jobs
+    always use the folder the cluster names. ``spark.checkpoint.dir`` itself
+    is a static setting and is never modified here.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
-        d = spark.sparkContext.getCheckpointDir()
-    if not d:
-        if not spark.sparkContext.master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         d = tempfile.mkdtemp(prefix="loanlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d
 
 

@@ -15,8 +15,9 @@ def spark():
     from loanlens.session import get_spark
 
     s = get_spark("local[4]", shuffle_partitions=8)
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="loanlens-test-ckpt-"))
+    if not (s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir()):
+        # spark.checkpoint.dir is static: register a folder on the context instead
+        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loanlens-test-ckpt-"))
     yield s
 
 
