@@ -74,3 +74,20 @@ def test_skewness_matches_pandas(spark, vals):
         assert got is None          # pandas: NaN for n < 3, 0 for constant; neither is selected
     else:
         assert got == pytest.approx(exp, rel=1e-9)
+
+
+def test_rollup_distinct_planning_rule(spark):
+    df = spark.createDataFrame([(1, 10, "a", 1.0), (1, 11, "b", 2.0), (2, 10, "a", None)],
+                               "k long, x long, s string, v double")
+
+    def plan(spec):
+        out = M.rollup(df, "k", spec)
+        out.collect()
+        return out._jdf.queryExecution().executedPlan().toString()
+
+    one = plan([Agg("n", "nunique", "x"), Agg("m", "mean", "v")])
+    assert "count(distinct" in one and "Join" not in one          # Spark's one-pass plan
+    with_mode = plan([Agg("n", "nunique", "x"), Agg("md", "mode", "s")])
+    assert "count(distinct" not in with_mode and "Join" in with_mode   # separate pass
+    two = plan([Agg("n", "nunique", "x"), Agg("ns", "nunique_small", "s")])
+    assert "Expand" not in two and "Join" in two
