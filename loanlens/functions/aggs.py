@@ -104,12 +104,14 @@ def skewness_unbiased(c) -> Column:
 STACK_MIN_COLUMNS = 24
 
 
-def stacked_stats(df, cols, **stats) -> "DataFrame":
+def stacked_stats(df, cols, every_column: bool = False, **stats) -> "DataFrame":
     """Per-column statistics of many columns in one pass, one row per column.
 
     ``stats`` maps an output name to a function of a double column; the result
-    has ``idx`` (position in ``cols``) and one field per statistic, and a row
-    for every column even when ``df`` is empty. Wide inputs are stacked into
+    has ``idx`` (position in ``cols``) and one field per statistic. A
+    non-empty ``df`` gives a row for every column; with ``every_column`` an
+    empty one does too (wide inputs then join onto the column indices).
+    Wide inputs are stacked into
     ``(idx, x)`` pairs inside the scan's pipeline and aggregated by ``idx``:
     the aggregate has a handful of functions whatever the column count, so its
     generated code stays small (one global ``agg`` with hundreds of moment
@@ -130,6 +132,8 @@ def stacked_stats(df, cols, **stats) -> "DataFrame":
                       for i, c in enumerate(cols)])
     per_col = (df.select(F.inline(pairs))
                  .groupBy("idx").agg(*[fn(F.col("x")).alias(name) for name, fn in stats.items()]))
+    if not every_column:
+        return per_col
     # Empty input leaves no groups: join the (at most one row per column)
     # result onto the column indices, so every column still has its row.
     every = df.sparkSession.createDataFrame([(i,) for i in range(len(cols))], "idx int")

@@ -101,7 +101,8 @@ def skew_report(df: DataFrame, threshold=C.SKEW_THRESHOLD, exclude=None,
     """
     cols = candidate_columns(df, exclude, columns)
     names = F.array(*[F.lit(c) for c in cols])
-    stats = A.stacked_stats(df, cols, skewness=A.skewness_unbiased, min_value=F.min, n=F.count)
+    stats = A.stacked_stats(df, cols, every_column=True, skewness=A.skewness_unbiased,
+                            min_value=F.min, n=F.count)
     fields = [F.get(names, F.col("idx")).alias("column_name"), "skewness", "min_value",
               F.coalesce(F.col("n"), F.lit(0).cast("long")).alias("n"),
               skew_selected(F.col("skewness"), threshold).alias("selected")]
