@@ -5,6 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as E
+from loanlens.plans import catalog
 from tests.conftest import SF0001
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF0001), reason="driver tables not present")
@@ -17,7 +18,7 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - {"train_score"}))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - {"train_score"}))
 def test_no_pairs_no_python_no_expand(spark, name):
     plan = plan_of(E.queries()[name](spark, SF0001))
     for op in FORBIDDEN:
