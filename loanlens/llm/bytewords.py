@@ -52,14 +52,14 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def slices(table, limit: int = 4 << 20, column: str = "text"):
+def slices(table, limit: int = 4 << 20, column: str = "text", rows: int = 1 << 16):
     """Row slices of a record batch with about ``limit`` text bytes each (one
-    longer text stands alone)."""
+    longer text stands alone) and at most ``rows`` rows."""
     data, offsets = buffers(table.column(column))
     n, lo = len(offsets) - 1, 0
     while lo < n:
         hi = int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1
-        hi = min(n, max(hi, lo + 1))
+        hi = min(n, lo + rows, max(hi, lo + 1))
         yield table.slice(lo, hi - lo), data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
         lo = hi
 

@@ -1,6 +1,12 @@
 """Queries of this subpackage and their DuckDB SQL."""
 
-from . import simhash
+from . import decontam, fingerprints, packing, simhash, tokens
 
-QUERIES = {"op10_simhash": simhash.op10_simhash}
+QUERIES = {
+    "op1_fingerprints": fingerprints.op1_fingerprints,
+    "op3_token_counts": tokens.op3_token_counts,
+    "op7_decontaminate": decontam.op7_decontaminate,
+    "op8_packing": packing.op8_packing,
+    "op10_simhash": simhash.op10_simhash,
+}
 ORACLE_SQL: dict[str, str] = {}
