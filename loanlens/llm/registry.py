@@ -1,10 +1,12 @@
 """Queries of this subpackage and their DuckDB SQL."""
 
-from . import decontam, fingerprints, packing, simhash, tokens
+from . import decontam, fingerprints, langid, packing, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_token_counts": tokens.op3_token_counts,
+    "op5_language": langid.op5_language,
     "op7_decontaminate": decontam.op7_decontaminate,
     "op8_packing": packing.op8_packing,
     "op10_simhash": simhash.op10_simhash,
