@@ -1,14 +1,16 @@
 """Queries of this subpackage and their DuckDB SQL."""
 
-from . import decontam, fingerprints, langid, packing, simhash, tokens, toxicity
+from . import decontam, fingerprints, langid, packing, pii, simhash, substrings, tokens, toxicity
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_token_counts": tokens.op3_token_counts,
+    "op4_pseudonyms": pii.op4_pseudonyms,
     "op5_language": langid.op5_language,
     "op7_decontaminate": decontam.op7_decontaminate,
     "op8_packing": packing.op8_packing,
+    "op9_substrings": substrings.op9_substrings,
     "op10_simhash": simhash.op10_simhash,
 }
 ORACLE_SQL: dict[str, str] = {}
