@@ -1,6 +1,6 @@
 """Queries of this subpackage and their DuckDB SQL."""
 
-from . import decontam, fingerprints, langid, packing, pii, simhash, substrings, tokens, toxicity
+from . import decontam, fingerprints, langid, packing, pii, secret_scan, simhash, substrings, tokens, toxicity
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_token_counts": tokens.op3_token_counts,
     "op4_pseudonyms": pii.op4_pseudonyms,
     "op5_language": langid.op5_language,
+    "op6_secrets": secret_scan.op6_secrets,
     "op7_decontaminate": decontam.op7_decontaminate,
     "op8_packing": packing.op8_packing,
     "op9_substrings": substrings.op9_substrings,
