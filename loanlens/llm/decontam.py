@@ -208,9 +208,9 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, **kw) -> DataFrame:
     """``docs`` without the contaminated rows."""
     found = find_contamination(docs, bench, **kw).filter("contaminated").select("doc_id", "version")
     id_col, text_col = kw.get("id_col", "doc_id"), kw.get("text_col", "text")
-    bad = found.select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"))
-    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("__id"))
-                     & (F.xxhash64(text_col) == F.col("__version")), "left_anti")
+    bad = found.withColumnsRenamed({"doc_id": "bad_id", "version": "bad_version"})
+    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(bad["bad_id"])
+                     & (F.xxhash64(docs[text_col]) == bad["bad_version"]), "left_anti")
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:

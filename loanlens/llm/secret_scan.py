@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
 from . import bytewords as W
 
 SECRET_WORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key",
@@ -328,8 +329,8 @@ def train(spark, corpus: CorpusModel, findings: DataFrame | None = None, trees:
                 [b.column("label").cast(pa.float64()), pa.array(rows, pa.list_(pa.float64()))], ["label", "x"])
 
     rows = (findings.select("text", "start", "end", "path", F.col("label").cast("int").alias("label"))
-            .mapInArrow(run, "label double, x array<double>")
-            .select("label", array_to_vector("x").alias("features")))
+            .mapInArrow(run, "label double, x array<double>"))
+    rows = materialize(rows).select("label", array_to_vector("x").alias("features"))
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxMemoryInMB=64).fit(rows)
     return read_forest(model)
 
@@ -353,7 +354,7 @@ def scan(docs: DataFrame, corpus: CorpusModel, forest: Forest, id_col: str = "do
     """One row per candidate: doc_id, start and end in characters, value,
     score (share of trees) and is_secret (score >= 0.5)."""
     frame = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"),
-                        (F.col(path_col) if path_col else F.lit("")).cast("string").alias("path"))
+                        (F.col(path_col) if path_col in docs.columns else F.lit("")).cast("string").alias("path"))
     kind = frame.schema["doc_id"].dataType.simpleString()
     held = docs.sparkSession.sparkContext.broadcast((corpus, forest))
 

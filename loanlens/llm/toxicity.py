@@ -18,7 +18,8 @@ a shuffle.
 Edge cases: null and empty texts have no words and get the score of the
 intercept; labels that are null, or of unknown documents, are not used; a
 document labelled more than once counts as its largest label; without labels
-of both kinds the score is the smoothed share of label 1 for every text;
+of both kinds the score is the smoothed share of label 1, (n1 + 0.5) / (n + 2),
+for every text;
 repeated rows score alike; extra columns are ignored.
 """
 
@@ -178,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, groups=IDENTITY_GROUPS, max_rows:
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     pos, neg = sizes.get(1, 0), sum(n for k, n in sizes.items() if k != 1)
     if not pos or not neg:
-        p = (pos + 1) / (pos + neg + 2)
+        p = (pos + 0.5) / (pos + neg + 2)
         return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), float(np.log(p / (1 - p))))
     counts = (rows.select((F.col("label") == 1).cast("long").alias("y"), F.explode("words").alias("word"))
               .groupBy("word").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
