@@ -10,6 +10,9 @@ own words.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -52,7 +55,15 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def slices(table, limit: int = 4 << 20, column: str = "text", rows: int = 1 << 16):
+def release() -> None:
+    """Give freed memory back to the system: two workers share an executor's
+    memory with its JVM, and freed batches would stay with the worker."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):       # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def slices(table, limit: int = 1 << 20, column: str = "text", rows: int = 1 << 16):
     """Row slices of a record batch with about ``limit`` text bytes each (one
     longer text stands alone) and at most ``rows`` rows."""
     data, offsets = buffers(table.column(column))
@@ -62,6 +73,8 @@ def slices(table, limit: int = 4 << 20, column: str = "text", rows: int = 1 << 1
         hi = min(n, lo + rows, max(hi, lo + 1))
         yield table.slice(lo, hi - lo), data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
         lo = hi
+    del data, offsets
+    release()
 
 
 def find_words(data: np.ndarray, offsets: np.ndarray, cls: np.ndarray):

@@ -83,6 +83,7 @@ def signatures(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id",
     def run(batches):
         for b in batches:
             fp = fingerprints_of(b.column("text"), shingle)
+            W.release()
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 

@@ -25,7 +25,7 @@ from . import bytewords as W
 
 PLAIN = ".,;:!?|#$%&*"
 #: parts remembered per worker; the memo starts anew beyond it
-MEMO = 1_000_000
+MEMO = 500_000
 #: parts to a library call
 GROUP = 512
 
@@ -207,7 +207,7 @@ def segments(text: str, limit: int):
     yield text[lo:]
 
 
-def batches_of(table, limit: int = 4 << 20, column: str = "text"):
+def batches_of(table, limit: int = 1 << 20, column: str = "text"):
     """(rows, offsets in bytes, texts as an Arrow column) by slices of about ``limit`` bytes."""
     for rows, _, offsets in W.slices(table, limit, column):
         yield rows, offsets, rows.column(column)
