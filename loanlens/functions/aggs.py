@@ -21,7 +21,7 @@ from . import expr as X
 class Agg:
     """One output column of a roll-up.
 
-    fn: mean | max | min | sum0 | count | nunique | nunique_small |
+    fn: mean | max | min | sum0 | count | nunique |
         count_eq | mode | mode_ordinal
     arg: the compared value for ``count_eq``; the ordered labels for
          ``mode_ordinal``.
@@ -48,16 +48,6 @@ def nunique(c) -> Column:
     return F.count_distinct(X.col(c))
 
 
-def nunique_small(c) -> Column:
-    """Exact distinct count for a low-cardinality column.
-
-    Runs inside the same hash aggregate as the other features (no Expand of the
-    input rows); the buffer is bounded by the number of labels, so use it only
-    for code/label columns, never for free text or keys.
-    """
-    return F.size(F.collect_set(X.col(c))).cast("long")
-
-
 def count_eq(c, value) -> Column:
     """Number of rows where ``c == value`` (NULL never matches)."""
     return F.count_if(X.equals_flag(c, value))
@@ -99,63 +89,28 @@ def skewness_unbiased(c) -> Column:
     return F.when(n >= F.lit(3.0), g1 * F.sqrt(n * (n - F.lit(1.0))) / (n - F.lit(2.0)))
 
 
-# Below this many columns one global aggregate per column set is cheaper (one
-# exchange fewer); from here on its generated code gets too large.
-STACK_MIN_COLUMNS = 24
-
-
-def stacked_stats(df, cols, every_column: bool = False, **stats) -> "DataFrame":
-    """Per-column statistics of many columns in one pass, one row per column.
+def stacked_stats(df, cols, **stats) -> "DataFrame":
+    """Per-column statistics in one pass, one row per column at every width.
 
     ``stats`` maps an output name to a function of a double column; the result
-    has ``idx`` (position in ``cols``) and one field per statistic. A
-    non-empty ``df`` gives a row for every column; with ``every_column`` an
-    empty one does too (wide inputs then join onto the column indices).
-    Wide inputs are stacked into
-    ``(idx, x)`` pairs inside the scan's pipeline and aggregated by ``idx``:
-    the aggregate has a handful of functions whatever the column count, so its
-    generated code stays small (one global ``agg`` with hundreds of moment
-    aggregates outgrows the JVM method limit and falls back to slow
-    interpreted evaluation), and the partial aggregate holds one small buffer
-    per column. Narrow inputs (fewer than ``STACK_MIN_COLUMNS``) use one global
-    aggregate, unpacked to the same rows. NULL values count as absent; a count
-    over an empty wide input is NULL rather than 0.
+    has ``idx`` (position in ``cols``) and one field per statistic. Rows are
+    stacked into ``(idx, x)`` pairs inside the scan's pipeline and aggregated
+    by ``idx``: the aggregate has a handful of functions whatever the column
+    count, so its generated code stays small (one global ``agg`` with hundreds
+    of moment aggregates outgrows the JVM method limit), and the partial
+    aggregate holds one small buffer per column. The result (at most one row
+    per column) is joined onto the column indices, so an empty input has a row
+    of NULL statistics for every column too.
     """
     cols = list(cols)
-    if len(cols) < STACK_MIN_COLUMNS:
-        per_col = F.array(*[
-            F.struct(F.lit(i).alias("idx"),
-                     *[fn(X.col(c).cast("double")).alias(name) for name, fn in stats.items()])
-            for i, c in enumerate(cols)])
-        return df.agg(per_col.alias("r")).select(F.inline("r"))
     pairs = F.array(*[F.struct(F.lit(i).alias("idx"), X.col(c).cast("double").alias("x"))
                       for i, c in enumerate(cols)])
     per_col = (df.select(F.inline(pairs))
                  .groupBy("idx").agg(*[fn(F.col("x")).alias(name) for name, fn in stats.items()]))
-    if not every_column:
-        return per_col
-    # Empty input leaves no groups: join the (at most one row per column)
-    # result onto the column indices, so every column still has its row.
     every = df.sparkSession.createDataFrame([(i,) for i in range(len(cols))], "idx int")
     return every.join(per_col, "idx", "left")
 
 
-def stats_struct(df, cols, **stats) -> "DataFrame":
-    """One row, one struct column ``st`` with a field ``<name><i>`` per statistic
-    and column i, for attaching as a scalar subquery (rows then read plain
-    struct fields). Narrow inputs: one global aggregate. Wide inputs: the
-    stacked statistics (one row per column) pivoted -- bounded by the column
-    count."""
-    cols = list(cols)
-    if len(cols) < STACK_MIN_COLUMNS:
-        return df.agg(F.struct(*[fn(X.col(c).cast("double")).alias(f"{name}{i}")
-                                 for i, c in enumerate(cols)
-                                 for name, fn in stats.items()]).alias("st"))
-    per_col = stacked_stats(df, cols, **stats)
-    return per_col.agg(F.struct(*[F.max(F.when(F.col("idx") == F.lit(i), F.col(name))).alias(f"{name}{i}")
-                                  for i in range(len(cols)) for name in stats]).alias("st"))
-
-
 def build(spec: Agg) -> Column:
     fn, c = spec.fn, spec.col
     if fn == "mean":
@@ -170,8 +125,6 @@ def build(spec: Agg) -> Column:
         e = F.count(X.col(c))
     elif fn == "nunique":
         e = nunique(c)
-    elif fn == "nunique_small":
-        e = nunique_small(c)
     elif fn == "count_eq":
         e = count_eq(c, spec.arg)
     elif fn == "mode":

@@ -98,7 +98,7 @@ def row_mean(cols) -> Column:
 
 def row_median(cols) -> Column:
     """Median of the non-NULL values in a row (even count -> mean of the middle two)."""
-    arr = F.array_sort(F.array_compact(F.array(*[col(c).cast("double") for c in cols])))
+    arr = F.sort_array(F.array_compact(F.array(*[col(c).cast("double") for c in cols])))
     n = F.size(arr)
     lo = F.floor((n - F.lit(1)) / F.lit(2)).cast("int")
     hi = F.floor(n / F.lit(2)).cast("int")

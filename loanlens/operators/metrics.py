@@ -25,9 +25,10 @@ from ..functions import expr as X
 
 def score_label_counts(df: DataFrame, score_col: str, label_col: str) -> DataFrame:
     """Distinct scores with their positive / negative counts (partial aggregation
-    makes a hot score cheap)."""
+    makes a hot score cheap). NULL and NaN scores and NULL labels are missing."""
     lab = F.col(label_col)
-    return (df.filter(F.col(score_col).isNotNull() & lab.isNotNull())
+    score = F.col(score_col).cast("double")
+    return (df.filter(score.isNotNull() & ~F.isnan(score) & lab.isNotNull())
               .groupBy(F.col(score_col).cast("double").alias("score"))
               .agg(F.sum(F.when(lab == 1, 1).otherwise(0)).cast("long").alias("pos"),
                    F.sum(F.when(lab == 1, 0).otherwise(1)).cast("long").alias("neg")))

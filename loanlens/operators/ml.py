@@ -100,25 +100,12 @@ class ConstantImputer(Transformer, HasInputCols, DefaultParamsReadable, DefaultP
 
 def standardise_batch(df: DataFrame, cols, suffix: str = "") -> DataFrame:
     """(x - mean) / std_pop with the statistics of ``df`` itself; a constant
-    column is divided by 1. Narrow: statistics are one aggregate attached as a
-    scalar subquery (:func:`aggs.stats_struct`), no collect. Wide: the fitted
-    scaler (bounded per-column statistics collected, then literals)."""
+    column is divided by 1. The fitted scaler at every width: bounded
+    per-column statistics collected, then literals."""
     cols = list(cols)
     if not cols:
         return df
-    if len(cols) >= A.STACK_MIN_COLUMNS:
-        # wide: bounded per-column stats to the driver, literals per row
-        # (a wide stats struct attached to every row costs more)
-        return PopulationStandardScaler(inputCols=cols, outputCols=[c + suffix for c in cols]) \
-            .fit(df).transform(df)
-    tmp = "__std_stats"
-    out = X.attach_scalar(df, tmp, A.stats_struct(df, cols, a=F.avg, s=F.stddev_pop))
-    st = F.col(tmp)
-    new = {}
-    for i, c in enumerate(cols):
-        scale = F.when((st[f"s{i}"] == 0) | st[f"s{i}"].isNull(), F.lit(1.0)).otherwise(st[f"s{i}"])
-        new[c + suffix] = (F.col(c).cast("double") - st[f"a{i}"]) / scale
-    return out.withColumns(new).drop(tmp)
+    return PopulationStandardScaler(inputCols=cols, outputCols=[c + suffix for c in cols]).fit(df).transform(df)
 
 
 class PopulationStandardScaler(Estimator, HasInputCols, HasOutputCols,
@@ -250,6 +237,19 @@ def preprocessing_pipeline(numeric, categorical, *, features_col="features",
     return Pipeline(stages=stages)
 
 
+def check_categories(df: DataFrame, cols, limit: int = 10_000) -> None:
+    """Raise if a text column has more than about ``limit`` different values:
+    its vocabulary would go to the driver and its one-hot block into every
+    model. Such a column is an id or free text and must be declared so."""
+    cols = list(cols)
+    if not cols:
+        return
+    row = df.agg(*[F.approx_count_distinct(c).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    wide = [f"{c} (about {row[f'n{i}']})" for i, c in enumerate(cols) if row[f"n{i}"] > limit]
+    if wide:
+        raise ValueError(f"too many categories (limit {limit}): {', '.join(wide)}; exclude these columns")
+
+
 def vector_size(df: DataFrame, col: str = "features") -> int:
     meta = df.schema[col].metadata.get("ml_attr", {})
     if "num_attrs" in meta:
@@ -259,12 +259,15 @@ def vector_size(df: DataFrame, col: str = "features") -> int:
 
 def train_classifier(df: DataFrame, *, key=C.APP_KEY, label=C.LABEL, numeric=None,
                      categorical=None, gbt_iter: int = 30, mlp_hidden=(16,),
-                     ensemble: bool = True, seed: int = 42,
+                     ensemble: bool = True, seed: int = 42, threshold: float = 0.5,
+                     max_categories: int = 10_000,
                      filter_column=C.GENDER_COLUMN, filter_value=C.GENDER_DROP_VALUE) -> PipelineModel:
     """G5 + G7 (+ G8): fit the encoder, a boosted-tree classifier and, with
     ``ensemble``, an MLP whose P(class 1) is averaged with the trees'.
 
-    Returns one PipelineModel whose output has ``score`` (P(class 1)) and
+    ``threshold``: P(class 1) from which the hard label is 1 (for example
+    from ``metrics.best_f1_threshold`` on held-out rows). Returns one
+    PipelineModel whose output has ``score`` (P(class 1)) and
     ``prediction`` (hard label).
     """
     # GBT checkpoints its state every 10 iterations only when the context has
@@ -276,6 +279,7 @@ def train_classifier(df: DataFrame, *, key=C.APP_KEY, label=C.LABEL, numeric=Non
         n, c = feature_roles(df, key=key, label=label)
         numeric = n if numeric is None else numeric
         categorical = c if categorical is None else categorical
+    check_categories(df, categorical, max_categories)
     prep = preprocessing_pipeline(numeric, categorical, filter_column=filter_column,
                                   filter_value=filter_value).fit(df)
     data = prep.transform(df).withColumn("__label", F.col(label).cast("double"))
@@ -295,7 +299,7 @@ def train_classifier(df: DataFrame, *, key=C.APP_KEY, label=C.LABEL, numeric=Non
                 rawPredictionCol="mlp_raw").fit(data)
             stages.append(mlp)
             cols.append("mlp_probability")
-        stages.append(ProbabilityAverager(probabilityCols=cols))
+        stages.append(ProbabilityAverager(probabilityCols=cols, threshold=threshold))
     finally:
         data.unpersist()
     return PipelineModel(stages=stages)

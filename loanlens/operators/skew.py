@@ -2,14 +2,8 @@
 
 Two forms:
 
-* ``log_transform_skewed(df)`` -- batch form. For narrow frames the
-  skewness and minimum of every candidate column come from one aggregate
-  (:func:`aggs.stats_struct`), attached as a single scalar subquery
-  (``DataFrame.scalar()``): Spark runs it once, reuses the shuffles it shares
-  with the main plan (``ReusedExchange``), and the row-wise part stays one
-  codegen'd projection. No cross join, no collect. Wide frames (and
-  ``materialize=True``) collect the bounded per-column statistics first and
-  inline them as literals.
+* ``log_transform_skewed(df)`` -- batch form: fits on ``df`` itself (one
+  bounded row of statistics per column) and applies the choice to it.
 * ``SkewLogEstimator`` / ``SkewLogModel`` -- fit once (bounded stats, one row
   per column), then apply the stored choice to any later batch. This is the
   form for scoring, where the batch form would pick columns from whoever is
@@ -58,39 +52,20 @@ def log_transform_skewed(df: DataFrame, threshold=C.SKEW_THRESHOLD, exclude=None
     """Batch G1: log-transform every candidate column with abs(skewness) > threshold.
 
     Candidate columns come out as double; a NULL result keeps the old value.
-    ``materialize`` writes ``df`` first as a table in the shared checkpoint
-    folder (use it when ``df`` is an expensive plan such as the joined mart):
-    the per-column statistics are then read off that table (numeric columns
-    only) and inlined as literals, so only the chosen columns carry a log
-    expression and the rows are read once more.
-
-    Without ``materialize``, narrow frames stay one lazy plan (statistics as a
-    scalar subquery). From ``aggs.STACK_MIN_COLUMNS`` columns on, the
-    statistics are collected first (one bounded row per column) and inlined
-    as literals as well: a wide statistics struct attached to every row
-    costs more than the round trip (200 columns x 2M rows: ~20 s vs ~13 s).
+    The statistics are one bounded row per column, collected first and inlined
+    as literals at every width. ``materialize`` writes ``df`` before that as a
+    table in the shared checkpoint folder (use it when ``df`` is an expensive
+    plan such as the joined mart): the statistics and the rows are then read
+    off that table.
     """
     cols = candidate_columns(df, exclude, columns)
     if not cols:
         return df
-    if materialize or len(cols) >= A.STACK_MIN_COLUMNS:
-        if materialize:
-            from ..session import materialize as _mat
-            df = _mat(df)
-        model = SkewLogEstimator(inputCols=cols, threshold=threshold, shift=shift).fit(df)
-        chosen = set(model.getOrDefault(model.selectedCols))
-        out = model.transform(df)
-        rest = [c for c in cols if c not in chosen]
-        return out.withColumns({c: X.col(c).cast("double") for c in rest}) if rest else out
-    tmp = "__skew_stats"
-    out = X.attach_scalar(df, tmp, A.stats_struct(df, cols, skew=A.skewness_unbiased, mn=F.min))
-    new = {}
-    for i, c in enumerate(cols):
-        sk, mn = F.col(tmp)[f"skew{i}"], F.col(tmp)[f"mn{i}"]
-        old = X.col(c).cast("double")
-        logged = X.overwrite_non_null(X.log_transform(c, mn, shift), old)
-        new[c] = F.when(skew_selected(sk, threshold), logged).otherwise(old)
-    return out.withColumns(new).drop(tmp)
+    if materialize:
+        from ..session import materialize as _mat
+        df = _mat(df)
+    model = SkewLogEstimator(inputCols=cols, threshold=threshold, shift=shift).fit(df)
+    return model.transform(df)
 
 
 def skew_report(df: DataFrame, threshold=C.SKEW_THRESHOLD, exclude=None,
@@ -101,7 +76,7 @@ def skew_report(df: DataFrame, threshold=C.SKEW_THRESHOLD, exclude=None,
     """
     cols = candidate_columns(df, exclude, columns)
     names = F.array(*[F.lit(c) for c in cols])
-    stats = A.stacked_stats(df, cols, every_column=True, skewness=A.skewness_unbiased,
+    stats = A.stacked_stats(df, cols, skewness=A.skewness_unbiased,
                             min_value=F.min, n=F.count)
     fields = [F.get(names, F.col("idx")).alias("column_name"), "skewness", "min_value",
               F.coalesce(F.col("n"), F.lit(0).cast("long")).alias("n"),
@@ -146,12 +121,15 @@ class SkewLogEstimator(Estimator, _SkewParams, DefaultParamsReadable, DefaultPar
             if sk is not None and sk == sk and abs(sk) > thr:
                 chosen.append(c)
                 minima.append(float(mn) if mn is not None else 0.0)
-        m = SkewLogModel(selectedCols=chosen, minima=minima,
-                         shift=self.getOrDefault(self.shift))
-        return m
+        return SkewLogModel(inputCols=cols, selectedCols=chosen, minima=minima,
+                            shift=self.getOrDefault(self.shift))
 
 
-class SkewLogModel(Model, DefaultParamsReadable, DefaultParamsWritable):
+class SkewLogModel(Model, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
+    """All candidate columns come out as double. A value below the fit-time
+    minimum is logged as that minimum, so a column never mixes both scales; a
+    NULL stays NULL."""
+
     selectedCols = Param(Params._dummy(), "selectedCols", "columns chosen at fit",
                          typeConverter=TypeConverters.toListString)
     minima = Param(Params._dummy(), "minima", "fit-time minimum per chosen column",
@@ -160,7 +138,7 @@ class SkewLogModel(Model, DefaultParamsReadable, DefaultParamsWritable):
                   typeConverter=TypeConverters.toFloat)
 
     @keyword_only
-    def __init__(self, *, selectedCols=None, minima=None, shift=C.SKEW_SHIFT):
+    def __init__(self, *, inputCols=None, selectedCols=None, minima=None, shift=C.SKEW_SHIFT):
         super().__init__()
         self._setDefault(selectedCols=[], minima=[], shift=C.SKEW_SHIFT)
         self._set(**self._input_kwargs)
@@ -169,9 +147,13 @@ class SkewLogModel(Model, DefaultParamsReadable, DefaultParamsWritable):
         cols = self.getOrDefault(self.selectedCols)
         mins = self.getOrDefault(self.minima)
         shift = self.getOrDefault(self.shift)
-        present = [(c, m) for c, m in zip(cols, mins) if c in df.columns]
-        if not present:
-            return df
-        return df.withColumns({
-            c: X.overwrite_non_null(X.log_transform(c, m, shift), X.col(c).cast("double"))
-            for c, m in present})
+        low = dict(zip(cols, mins))
+        new = {}
+        for c in dict.fromkeys([*(self.getInputCols() if self.isDefined(self.inputCols) else []), *cols]):
+            if c not in df.columns:
+                continue
+            new[c] = X.col(c).cast("double")
+            if c in low:
+                held = F.when(new[c].isNotNull(), F.greatest(new[c], F.lit(low[c])))
+                new[c] = X.overwrite_non_null(X.log_transform(held, low[c], shift), new[c])
+        return df.withColumns(new) if new else df

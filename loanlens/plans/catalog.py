@@ -10,6 +10,8 @@ log/pow are rounded to 6 decimals on both sides, plain row arithmetic is not.
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,14 +37,8 @@ TIE_SHIFT = 1.3e-9
 
 
 def tbl(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """Parquet table. The scan relation (file listing + footer schema, no data)
-    is remembered on the session object, so a new session never sees a frame
-    of an old one."""
-    path = f"{d.rstrip('/')}/{name}.parquet"
-    memo = spark.__dict__.setdefault("_loanlens_tables", {})
-    if path not in memo:
-        memo[path] = spark.read.parquet(path)
-    return memo[path]
+    """Parquet table."""
+    return spark.read.parquet(f"{d.rstrip('/')}/{name}.parquet")
 
 
 def day_rel(c, anchor: str = DAY0) -> "F.Column":
@@ -159,11 +155,11 @@ BAL_ANALOG = [
 BUREAU_ANALOG = [
     Agg("BUREAU_SK_ID_BUREAU", "nunique", "o_orderkey"),
     Agg("BUREAU_CREDIT_ACTIVE", "count_eq", "o_orderstatus", "F"),
-    Agg("BUREAU_CREDIT_CURRENCY", "nunique_small", "o_orderstatus"),
+    Agg("BUREAU_CREDIT_CURRENCY", "nunique", "o_orderstatus"),
     Agg("BUREAU_DAYS_CREDIT", "mean", "days_rel"),
     Agg("BUREAU_CNT_CREDIT_PROLONG", "sum0", "o_prio_txt"),
     Agg("BUREAU_AMT_CREDIT_SUM", "mean", "o_totalprice"),
-    Agg("BUREAU_CREDIT_TYPE", "nunique_small", "o_orderpriority"),
+    Agg("BUREAU_CREDIT_TYPE", "nunique", "o_orderpriority"),
     Agg("BUREAU_BUREAU_BAL_MONTHS_BALANCE_MEAN", "mean", "BUREAU_BAL_MONTHS_BALANCE_MEAN"),
     Agg("BUREAU_BUREAU_BAL_STATUS_MEAN", "mean", "BUREAU_BAL_STATUS_MEAN"),
     Agg("BUREAU_BUREAU_BAL_STATUS_MAX", "max", "BUREAU_BAL_STATUS_MAX"),
@@ -175,7 +171,7 @@ def merged_bureau(spark, d) -> DataFrame:
     """F7 on orders (credits) and lineitem (monthly balances)."""
     o = tbl(spark, d, "orders")
     ob = o.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice",
-                  "o_orderdate", F.substring("o_orderpriority", 1, 1).alias("o_prio_txt"),
+                  "o_orderdate", F.split("o_orderpriority", "-")[0].alias("o_prio_txt"),
                   day_rel("o_orderdate").alias("days_rel"))
     bal = lineitem_status(spark, d).withColumnRenamed("l_orderkey", "o_orderkey")
     return M.merge_bureau_and_balance(
@@ -192,7 +188,7 @@ SQL_BAL = (f"SELECT l_orderkey, avg(-CAST(l_linenumber AS DOUBLE)) AS BUREAU_BAL
 _B_COLS = ["o_totalprice", "o_prio_txt", "days_rel"]
 SQL_MERGED_BUREAU = (
     "WITH b AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, o_totalprice, "
-    "TRY_CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS o_prio_txt, "
+    "TRY_CAST(split_part(o_orderpriority, '-', 1) AS DOUBLE) AS o_prio_txt, "
     + SQL_DAY.format(c="o_orderdate") + " AS days_rel FROM orders), "
     "bt AS (" + sql_skew_select(_B_COLS, "b", ["o_orderkey", "o_custkey", "o_orderstatus",
                                                 "o_orderpriority"], digits=None)
@@ -367,7 +363,7 @@ def q_group_null_key(spark, d):
     out = M.rollup(o, "k", [Agg("n_orders", "nunique", "o_orderkey"),
                             Agg("price_sum", "sum0", "price"),
                             Agg("n_open", "count_eq", "o_orderstatus", "O"),
-                            Agg("n_status", "nunique_small", "o_orderstatus")])
+                            Agg("n_status", "nunique", "o_orderstatus")])
     return rnd(out, ["price_sum"])
 
 
@@ -549,20 +545,79 @@ def q_standardise(spark, d):
     return rnd(out.select("c_custkey", "c_acctbal_z", "avg_price_z"), ["c_acctbal_z", "avg_price_z"])
 
 
-def q_one_hot(spark, d):
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer
-    from pyspark.ml.functions import vector_to_array
+def _encoded(spark, df: DataFrame, pipeline, numeric, categorical, key: str) -> DataFrame:
+    """Fit, save, load and apply an encoder pipeline; its vector as columns:
+    ``z_<numeric>``, then ``<column>_<category>``."""
+    path = scratch_path(spark, "encoder")
+    IO.save_model(pipeline.fit(df), path)
+    model = IO.load_model(path)
+    names = [f"z_{c}" for c in numeric]
+    index = next((s for s in model.stages if hasattr(s, "labelsArray")), None)
+    for c, labels in zip(categorical, index.labelsArray if index else []):
+        names += [f"{c}_{x}" for x in labels]
+    out = model.transform(df).withColumn("arr", vector_to_array("features"))
+    return out.select(key, *[F.col("arr")[i].alias(n) for i, n in enumerate(names)])
+
 
+def q_one_hot(spark, d):
+    """G3 through the preprocessing pipeline: NULL -> "missing", one column per category."""
     c = tbl(spark, d, "customer").select(
         "c_custkey", F.nullif(F.col("c_mktsegment"), F.lit("BUILDING")).alias("seg"))
-    c = ML.ConstantImputer(inputCols=["seg"]).transform(c)
-    idx = StringIndexer(inputCol="seg", outputCol="seg_idx", handleInvalid="keep",
-                        stringOrderType="alphabetAsc").fit(c)
-    labels = idx.labelsArray[0]
-    x = idx.transform(c)
-    ohe = OneHotEncoder(inputCols=["seg_idx"], outputCols=["seg_vec"], dropLast=True).fit(x)
-    v = ohe.transform(x).withColumn("arr", vector_to_array("seg_vec"))
-    return v.select("c_custkey", *[F.col("arr")[i].alias(f"seg_{lab}") for i, lab in enumerate(labels)])
+    pipe = ML.preprocessing_pipeline([], ["seg"], filter_column="seg", filter_value="XNA")
+    return _encoded(spark, c, pipe, [], ["seg"], "c_custkey")
+
+
+def q_encode_matrix(spark, d):
+    """Column roles from the schema, drop/filter, impute,
+    z-score and one-hot in one pipeline, saved, loaded and applied."""
+    r = M.rollup(tbl(spark, d, "orders"), "o_custkey", [Agg("avg_price", "mean", "o_totalprice"),
+                                                       Agg("n_orders", "count", "o_orderkey")])
+    c = tbl(spark, d, "customer").select(
+        "c_custkey", (F.col("c_custkey") % 2).cast("int").alias("label"), "c_acctbal",
+        F.nullif(F.col("c_mktsegment"), F.lit("BUILDING")).alias("seg"),
+        F.when(F.col("c_nationkey") > 5, F.col("c_nationkey") % 3).cast("string").alias("zone"),
+        F.col("c_mktsegment").alias("X_BINNED_MODE"))
+    j = c.join(r.withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "left")
+    numeric, categorical = ML.feature_roles(j, key="c_custkey", label="label")
+    ML.check_categories(j, categorical)
+    pipe = ML.preprocessing_pipeline(numeric, categorical, filter_column="seg", filter_value="MACHINERY",
+                                     columns_to_drop=["X_BINNED_MODE", "absent"])
+    out = _encoded(spark, j, pipe, numeric, categorical, "c_custkey")
+    return rnd(out, [f"z_{n}" for n in numeric])
+
+
+def q_score_average(spark, d):
+    """G8's rule, G6's class and B11: two probability vectors averaged, class 1
+    from the threshold on, key + class + probability."""
+    li = tbl(spark, d, "lineitem")
+    vec = lambda p: array_to_vector(F.array(F.lit(1.0) - p, p))
+    x = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_key"),
+                  vec(F.col("l_discount") * 8).alias("p_trees"), vec(F.col("l_tax") * 8).alias("p_net"))
+    model = PipelineModel(stages=[ML.ProbabilityAverager(probabilityCols=["p_trees", "p_net"], threshold=0.5)])
+    return ML.score(model, x, key="line_key")
+
+
+def q_bundle_load(spark, d):
+    """A3 + A2: customer and orders as CSV, lineitem as Parquet in one folder,
+    loaded by name (timestamps and quoted text included), then joined."""
+    base = scratch_path(spark, "bundle")
+    IO.write_csv(tbl(spark, d, "customer").withColumn(
+        "c_name", F.concat(F.lit('says "hi", '), F.col("c_name"))), base + "/Customer.csv")
+    IO.write_csv(tbl(spark, d, "orders"), base + "/orders.csv")
+    tbl(spark, d, "lineitem").write.parquet(base + "/LINEITEM.parquet")
+    L = T.LongType()
+    b = IO.load_bundle(spark, base, ["customer", "orders", "lineitem"], {
+        "customer": T.StructType([T.StructField("c_custkey", L)]),
+        "orders": T.StructType([T.StructField("o_orderkey", L), T.StructField("o_custkey", L),
+                                T.StructField("o_orderdate", tbl(spark, d, "orders").schema["o_orderdate"].dataType)])})
+    lines = M.rollup(b["lineitem"], "l_orderkey", [Agg("n_lines", "count", "l_linenumber"),
+                                                   Agg("n_flags", "nunique", "l_returnflag")])
+    o = b["orders"].join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    per = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.count("o_orderkey").alias("n_orders"), F.sum("n_lines").alias("n_lines"), F.sum("n_flags").alias("n_flags"),
+        F.date_format(F.min("o_orderdate"), "yyyy-MM-dd").alias("first_order"),
+        F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("last_order"))
+    return b["customer"].select("c_custkey", "c_name", "c_mktsegment", "c_acctbal").join(per, "c_custkey", "left")
 
 
 def _scored_docs(spark, d) -> DataFrame:
@@ -612,7 +667,7 @@ def doc_features(spark, d) -> DataFrame:
 def q_train_score(spark, d):
     feats = doc_features(spark, d)
     model = ML.train_classifier(feats, key="doc_id", label="quality", numeric=["n_chars", "n_words",
-                                "n_lines"], categorical=["lang", "source"], gbt_iter=10,
+                                "n_lines"], categorical=["lang", "source"],
                                 filter_column="source", filter_value="XNA")
     return ML.score(model, feats, key="doc_id")
 
@@ -656,7 +711,7 @@ def clean_prev(spark, d) -> DataFrame:
 
 def q_clean_previous(spark, d):
     """tolerant drop, annuity >= 0 (NULL dropped), five-bin day labels, strict drop."""
-    return rnd(clean_prev(spark, d), ["amt_annuity"])
+    return clean_prev(spark, d)
 
 
 PREV_ANALOG = (
@@ -800,7 +855,7 @@ def _sql_prev_rows() -> str:
 
 def _sql_clean_previous() -> str:
     cols = ", ".join(f"{c}_BINNED" for c in PREV_DAYS_ANALOG)
-    return (f"SELECT o_orderkey, o_custkey, round({SQL_SHIFT}amt_annuity, {R}) AS amt_annuity, "
+    return (f"SELECT o_orderkey, o_custkey, amt_annuity, "
             f"o_totalprice, {cols} FROM ({_sql_prev_rows()})")
 
 
@@ -947,6 +1002,9 @@ QUERIES = {
     "wide_mart": q_wide_mart,
     "standardise": q_standardise,
     "one_hot": q_one_hot,
+    "encode_matrix": q_encode_matrix,
+    "score_average": q_score_average,
+    "bundle_load": q_bundle_load,
     "auc_rank": q_auc_rank,
     "f1_threshold": q_f1_threshold,
     "f1_grid": q_f1_grid,
@@ -980,6 +1038,14 @@ def _skew_report_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
+SEGMENTS = ["AUTOMOBILE", "FURNITURE", "HOUSEHOLD", "MACHINERY", "missing"]
+ENCODED_NUMBERS = ["c_acctbal", "avg_price", "n_orders"]
+
+
+def _sql_flags(col: str, values) -> str:
+    return ", ".join(f"CAST(CASE WHEN {col} = '{v}' THEN 1 ELSE 0 END AS DOUBLE) AS \"{col}_{v}\"" for v in values)
+
+
 ORACLE_SQL = {
     "filter_ne_keep_null":
         "SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS c_mktsegment FROM customer "
@@ -1099,9 +1165,33 @@ ORACLE_SQL = {
         "AS c_acctbal_z, round(" + SQL_SHIFT + "(avg_price - a2) / CASE WHEN s2 = 0 OR s2 IS NULL THEN 1.0 ELSE s2 END, 6) "
         "AS avg_price_z FROM j, st",
     "one_hot":
-        "PIVOT (SELECT c_custkey, 'seg_' || coalesce(nullif(c_mktsegment, 'BUILDING'), 'missing') AS cat, "
-        "CAST(1.0 AS DOUBLE) AS v FROM customer) ON cat USING coalesce(max(v), CAST(0 AS DOUBLE)) "
-        "GROUP BY c_custkey",
+        "SELECT c_custkey, " + _sql_flags("seg", SEGMENTS) + " FROM (SELECT c_custkey, "
+        "coalesce(nullif(c_mktsegment, 'BUILDING'), 'missing') AS seg FROM customer)",
+    "encode_matrix":
+        "WITH j AS (SELECT c_custkey, c_acctbal, coalesce(avg_price, 0.0) AS avg_price, "
+        "CAST(coalesce(n_orders, 0) AS DOUBLE) AS n_orders, "
+        "coalesce(nullif(c_mktsegment, 'BUILDING'), 'missing') AS seg, "
+        "coalesce(CAST(CASE WHEN c_nationkey > 5 THEN c_nationkey % 3 END AS VARCHAR), 'missing') AS zone "
+        "FROM customer LEFT JOIN (SELECT o_custkey, avg(o_totalprice) AS avg_price, count(o_orderkey) AS n_orders "
+        "FROM orders WHERE o_custkey IS NOT NULL GROUP BY o_custkey) ON c_custkey = o_custkey "
+        "WHERE c_mktsegment <> 'MACHINERY'), st AS (SELECT "
+        + ", ".join(f"avg({c}) AS a_{c}, coalesce(nullif(stddev_pop({c}), 0), 1) AS s_{c}" for c in ENCODED_NUMBERS)
+        + " FROM j) SELECT c_custkey, "
+        + ", ".join(f"round({SQL_SHIFT}({c} - a_{c}) / s_{c}, {R}) AS z_{c}" for c in ENCODED_NUMBERS) + ", "
+        + _sql_flags("seg", [x for x in SEGMENTS if x != "MACHINERY"]) + ", "
+        + _sql_flags("zone", ["0", "1", "2", "missing"]) + " FROM j, st",
+    "score_average":
+        "SELECT line_key, CAST(probability >= 0.5 AS INTEGER) AS \"TARGET\", probability FROM (SELECT "
+        "l_orderkey * 10 + l_linenumber AS line_key, (l_discount * 8 + l_tax * 8) / CAST(2.0 AS DOUBLE) "
+        "AS probability FROM lineitem)",
+    "bundle_load":
+        "SELECT c_custkey, 'says \"hi\", ' || c_name AS c_name, c_mktsegment, c_acctbal, n_orders, n_lines, n_flags, "
+        "first_order, last_order FROM customer LEFT JOIN (SELECT o_custkey, count(o_orderkey) AS n_orders, "
+        "CAST(sum(n_lines) AS BIGINT) AS n_lines, CAST(sum(n_flags) AS BIGINT) AS n_flags, "
+        "strftime(min(o_orderdate), '%Y-%m-%d') AS first_order, strftime(max(o_orderdate), '%Y-%m-%d') AS last_order "
+        "FROM orders LEFT JOIN (SELECT l_orderkey, count(l_linenumber) AS n_lines, count(DISTINCT l_returnflag) "
+        "AS n_flags FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey WHERE o_custkey IS NOT NULL "
+        "GROUP BY o_custkey) ON c_custkey = o_custkey",
     "auc_rank":
         SQL_SCORED + "SELECT round(" + SQL_SHIFT + "sum(CAST(pos AS DOUBLE) * (CAST(nb AS DOUBLE) + CAST(neg AS DOUBLE) / "
         "CAST(2.0 AS DOUBLE))) / (CAST(sum(pos) AS DOUBLE) * "

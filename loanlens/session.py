@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import contextlib
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
@@ -34,9 +35,6 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     if master:
         b = b.master(master)
     conf = dict(DEFAULT_CONF)
-    if master and master.startswith("local"):
-        # local mode: the driver JVM is the only executor
-        conf["spark.driver.memory"] = "16g"
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -68,20 +66,32 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared checkpoint folder."""
-    base = checkpoint_dir(spark)
-    sub = f"{name}-{os.getpid()}-{next(_counter)}"
-    return base.rstrip("/") + "/" + sub
-
-
-def _count():
-    i = 0
-    while True:
-        i += 1
-        yield i
-
-
-_counter = _count()
+    """A fresh sub-folder of the shared checkpoint folder, noted for
+    :func:`scratch_scope`."""
+    path = checkpoint_dir(spark).rstrip("/") + f"/{name}-{uuid.uuid4().hex}"
+    for scope in _scopes:
+        scope.append(path)
+    return path
+
+
+_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession):
+    """Delete, at the end, the scratch folders created inside. Use it around
+    building and writing a result: frames that read a scratch table are not
+    usable after it."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes[:] = [s for s in _scopes if s is not made]
+        jvm = spark.sparkContext._jvm
+        for path in made:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def materialize(df):

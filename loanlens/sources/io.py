@@ -34,6 +34,8 @@ def _cast_text(c: str, dtype: T.DataType):
     if isinstance(dtype, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
         as_int = F.when(s.rlike(_INT_TEXT), F.trim(s).try_cast(dtype))
         return F.coalesce(as_int, X.coerce_numeric(s).try_cast(dtype))
+    if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return s.try_cast(dtype)
     if isinstance(dtype, T.BooleanType):
         return F.lower(F.trim(s)).try_cast("boolean")
     return X.coerce_numeric(s).cast(dtype)
@@ -41,7 +43,9 @@ def _cast_text(c: str, dtype: T.DataType):
 
 def infer_text_types(df: DataFrame, cols) -> dict[str, T.DataType]:
     """Type each text column: long if all non-NULL values are integers, double
-    if all are numbers, else string. One global aggregate, one row back."""
+    if all are numbers, else string (also without any value: a batch in which
+    a column happens to be empty must not change its type). One global
+    aggregate, one row back."""
     cols = list(cols)
     if not cols:
         return {}
@@ -51,11 +55,12 @@ def infer_text_types(df: DataFrame, cols) -> dict[str, T.DataType]:
         aggs += [
             F.count_if(s.isNotNull() & ~s.rlike(X._NUMERIC_TEXT)).alias(f"bad{i}"),
             F.count_if(s.isNotNull() & ~s.rlike(_INT_TEXT)).alias(f"frac{i}"),
+            F.count(s).alias(f"n{i}"),
         ]
     row = df.agg(*aggs).first()
     out = {}
     for i, c in enumerate(cols):
-        if row[f"bad{i}"] > 0:
+        if row[f"bad{i}"] > 0 or row[f"n{i}"] == 0:
             out[c] = T.StringType()
         elif row[f"frac{i}"] > 0:
             out[c] = T.DoubleType()
@@ -65,10 +70,15 @@ def infer_text_types(df: DataFrame, cols) -> dict[str, T.DataType]:
 
 
 def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType | None = None,
-                   infer_rest: bool = True, na_tokens=C.CSV_NA_TOKENS) -> DataFrame:
-    """A1: header CSV -> typed DataFrame (declared columns cast, others typed by scan)."""
-    raw = (spark.read.option("header", True).option("inferSchema", False)
-           .option("mode", "PERMISSIVE").csv(path))
+                   infer_rest: bool = True, na_tokens=C.CSV_NA_TOKENS,
+                   multi_line: bool = False) -> DataFrame:
+    """A1: header CSV -> typed DataFrame (declared columns cast, others typed by scan).
+
+    Quotes inside quoted fields are doubled. ``multi_line`` allows line feeds
+    inside quoted fields; such a file is read by one task, so leave it off for
+    large files without them."""
+    raw = (spark.read.option("header", True).option("inferSchema", False).option("escape", '"')
+           .option("multiLine", multi_line).option("mode", "PERMISSIVE").csv(path))
     raw = null_na_tokens(raw, na_tokens)
     declared = {f.name: f.dataType for f in (schema.fields if schema else [])}
     rest = [c for c in raw.columns if c not in declared]
@@ -111,9 +121,9 @@ def _stem(name: str) -> str:
 
 
 def load_bundle(spark: SparkSession, path: str, tables=C.TABLES,
-                schemas=C.SCHEMAS) -> dict[str, DataFrame]:
-    """A2: the seven credit tables from one folder (CSV or Parquet, names
-    matched case-insensitively); a missing table raises."""
+                schemas=C.SCHEMAS, multi_line: bool = False) -> dict[str, DataFrame]:
+    """A2: the tables from one folder (CSV or Parquet, names matched
+    case-insensitively); a missing table raises."""
     entries = {}
     for name in list_dir(spark, path):
         if name.startswith((".", "_")):
@@ -126,7 +136,7 @@ def load_bundle(spark: SparkSession, path: str, tables=C.TABLES,
             raise FileNotFoundError(f"table {t!r} not found in {path}")
         full = path.rstrip("/") + "/" + hit
         if hit.lower().endswith(".csv"):
-            out[t] = read_csv_typed(spark, full, schemas.get(t))
+            out[t] = read_csv_typed(spark, full, schemas.get(t), multi_line=multi_line)
         else:
             out[t] = apply_schema(spark.read.parquet(full), schemas.get(t))
     return out
@@ -134,7 +144,7 @@ def load_bundle(spark: SparkSession, path: str, tables=C.TABLES,
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """A3: header CSV, one file per partition (no funnel through one task)."""
-    df.write.mode(mode).option("header", True).csv(path)
+    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
 def write_predictions(scored: DataFrame, path: str, key=C.APP_KEY,

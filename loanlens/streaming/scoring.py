@@ -7,7 +7,7 @@ are an ordinary batch plan, typically refreshed by the batch job), adds the
 row-wise features, applies the *fitted* skew model (the batch form would pick
 columns from whoever is in the micro-batch) and the fitted encoder +
 classifier. Every step is stateless per row, so no streaming state is kept;
-progress is tracked in a checkpoint under the shared checkpoint folder.
+progress is tracked in the checkpoint folder given.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ from ..operators import features as FE
 from ..operators import marts as M
 from ..operators import ml as ML
 from ..operators.skew import SkewLogModel
-from ..session import scratch_path
 
 
 def read_applications(spark: SparkSession, path: str, schema, fmt: str = "parquet",
@@ -46,14 +45,13 @@ def score_applications(apps: DataFrame, rollups: list[DataFrame], model: Pipelin
     return ML.score(model, feats, key=key)
 
 
-def start(scored: DataFrame, out_path: str, checkpoint: str | None = None,
+def start(scored: DataFrame, out_path: str, checkpoint: str,
           fmt: str = "parquet", available_now: bool = True,
           query_name: str | None = None) -> StreamingQuery:
-    """Append the scores to ``out_path``; the checkpoint lives in the shared
-    checkpoint folder unless given."""
-    spark = scored.sparkSession
+    """Append the scores to ``out_path``; ``checkpoint`` is the query's own
+    folder, the same at every restart."""
     w = (scored.writeStream.format(fmt).outputMode("append")
-         .option("checkpointLocation", checkpoint or scratch_path(spark, "score-stream")))
+         .option("checkpointLocation", checkpoint))
     if query_name:
         w = w.queryName(query_name)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")

@@ -14,7 +14,7 @@ SF0001 = "/root/testdata/sf0.001"
 def spark():
     from loanlens.session import get_spark
 
-    s = get_spark("local[4]", shuffle_partitions=8)
+    s = get_spark("local[4]", shuffle_partitions=8, extra={"spark.driver.memory": "8g"})
     if not (s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir()):
         # spark.checkpoint.dir is static: register a folder on the context instead
         s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loanlens-test-ckpt-"))

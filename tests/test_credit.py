@@ -129,3 +129,58 @@ def test_train_save_load_score(spark, credit, tmp_path):
     IO.write_predictions(ML.score(loaded, feats).withColumnRenamed("TARGET", "prediction"), out)
     back = pd.concat(pd.read_csv(os.path.join(out, f)) for f in os.listdir(out) if f.endswith(".csv"))
     assert list(back.columns) == ["SK_ID_CURR", "TARGET"] and len(back) == len(scored)
+
+
+def test_score_of_a_row_does_not_depend_on_its_batch(spark, credit, credit_pd, tmp_path):
+    fitted = CR.train_bundle(credit, gbt_iter=3, ensemble=False)
+    path = str(tmp_path / "fitted")
+    fitted.save(spark, path)
+    loaded = CR.CreditModel.load(spark, path)
+    assert loaded.types == fitted.types and C.LABEL not in loaded.types.names
+    whole = {r.SK_ID_CURR: r.probability for r in CR.score_tables(credit, loaded).collect()}
+    keys = sorted(whole)[::17]
+    for k in keys[:3]:
+        one = dict(credit)
+        one[CR.APPLICATION] = credit[CR.APPLICATION].filter(f"SK_ID_CURR = {k}")
+        got = CR.score_tables(one, loaded).collect()
+        assert len(got) == 1 and got[0].probability == pytest.approx(whole[k], abs=1e-12)
+
+
+def test_score_bundle_of_unlabelled_applications(spark, credit, credit_pd, tmp_path):
+    fitted = CR.train_bundle(credit, gbt_iter=3, ensemble=False)
+    d = tmp_path / "bundle"
+    d.mkdir()
+    for name, pdf in credit_pd.items():
+        pdf = pdf.drop(columns=["TARGET"]) if name == CR.APPLICATION else pdf
+        pdf.to_csv(d / f"{name.replace('_train', '_test')}.csv", index=False)
+    out = str(tmp_path / "out")
+    scored = CR.score_bundle(spark, str(d), fitted, out, application="application_test")
+    want = {r.SK_ID_CURR: r.probability for r in CR.score_tables(credit, fitted).collect()}
+    got = {r.SK_ID_CURR: r.probability for r in scored.collect()}
+    assert set(got) == set(want)
+    np.testing.assert_allclose([got[k] for k in sorted(got)], [want[k] for k in sorted(got)], rtol=1e-6)
+    back = pd.concat(pd.read_csv(os.path.join(out, f)) for f in os.listdir(out) if f.endswith(".csv"))
+    assert len(back) == len(want)
+
+
+def test_held_out_auc(spark):
+    from loanlens.operators import metrics as MT
+
+    rng = np.random.default_rng(4)
+    n = 1500
+    x, s = rng.normal(size=(n, 2)), rng.choice(["a", "b", "c"], n)
+    logit = 1.5 * x[:, 0] - x[:, 1] + np.where(s == "a", 1.0, -0.5)
+    y = (rng.random(n) < 1 / (1 + np.exp(-logit))).astype(int)
+    df = spark.createDataFrame(pd.DataFrame({"k": np.arange(n), "x0": x[:, 0], "x1": x[:, 1], "s": s, "y": y}))
+    fit, held = df.filter("k % 10 < 7"), df.filter("k % 10 >= 7")
+    model = ML.train_classifier(fit, key="k", label="y", gbt_iter=10, mlp_hidden=(6,), threshold=0.4,
+                                filter_column="s", filter_value="XNA")
+    scored = ML.score(model, held, key="k", out_col="pred").join(held.select("k", "y"), "k")
+    assert MT.roc_auc(scored, "probability", "y").first().auc > 0.8
+    assert scored.filter("(probability >= 0.4) <> (pred = 1)").count() == 0
+
+
+def test_a_column_of_ids_is_refused(spark):
+    df = spark.range(200).selectExpr("id as k", "cast(id % 2 as int) as y", "concat('id', id) as s", "1.0 as x")
+    with pytest.raises(ValueError, match="s \\(about"):
+        ML.train_classifier(df, key="k", label="y", max_categories=50)

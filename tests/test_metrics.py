@@ -48,6 +48,15 @@ def test_auc_evaluator_agrees(scored):
     assert MT.auc_evaluator(df, "s", "y") == pytest.approx(brute_auc(sc, lab), abs=1e-9)
 
 
+@pytest.mark.parametrize("rows_per_bucket", [1_000_000, 7])
+def test_nan_scores_are_missing(spark, scored, rows_per_bucket):
+    df, sc, lab = scored
+    more = df.unionByName(spark.createDataFrame([(float("nan"), 1), (None, 0), (float("nan"), 0)], "s double, y long"))
+    assert MT.roc_auc(more, "s", "y", rows_per_bucket).first().auc == pytest.approx(brute_auc(sc, lab), abs=1e-12)
+    assert MT.best_f1_threshold(more, "s", "y", rows_per_bucket).first().f1 == pytest.approx(brute_f1(sc, lab)[1])
+    assert MT.f1_on_grid(more, "s", "y", 20).collect() == MT.f1_on_grid(df, "s", "y", 20).collect()
+
+
 @pytest.mark.parametrize("rows_per_bucket", [1_000_000, 5])
 def test_best_f1(scored, rows_per_bucket):
     df, sc, lab = scored

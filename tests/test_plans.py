@@ -30,6 +30,16 @@ def test_rollup_scan_is_pruned_and_filtered(spark):
     schema = re.search(r"ReadSchema: struct<([^>]*)>", plan).group(1)
     assert set(x.split(":")[0] for x in schema.split(",")) == {"event_id", "user_id", "event_type"}
     assert "PushedFilters: [IsNotNull(user_id)]" in plan
+    assert plan.count("events.parquet") == 1 and "ObjectHashAggregate" not in plan
+
+
+@pytest.mark.parametrize("name, scans", [("pos_mart", {"lineitem": 1, "orders": 1}), ("card_mart", {"events": 1}),
+                                         ("impute_constants", {"events": 1})])
+def test_rollup_with_modes_reads_its_input_once(spark, name, scans):
+    plan = plan_of(E.queries()[name](spark, SF0001))
+    assert "ObjectHashAggregate" not in plan
+    for table, n in scans.items():
+        assert plan.count(f"{table}.parquet") == n
 
 
 def test_two_level_rollup_shape(spark):
@@ -38,9 +48,9 @@ def test_two_level_rollup_shape(spark):
     assert "ObjectHashAggregate" not in plan          # distinct counts run in their own narrow pass
 
 
-def test_skew_stats_are_a_subquery_not_a_join(spark):
+def test_skew_statistics_are_literals(spark):
     plan = plan_of(E.queries()["skew_log_positive"](spark, SF0001))
-    assert "Subquery" in plan and "Join" not in plan
+    assert "Subquery" not in plan and "Join" not in plan and "Exchange" not in plan
 
 
 @pytest.mark.parametrize("name", ["mode_binned", "prev_mart"])

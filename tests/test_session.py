@@ -2,7 +2,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loanlens.session import checkpoint_dir, materialize
+from loanlens.session import checkpoint_dir, materialize, scratch_path, scratch_scope
 
 
 def test_materialize_writes_a_table_in_the_shared_folder(spark):
@@ -20,6 +20,17 @@ def test_materialize_null_typed_column_falls_back_to_checkpoint(spark):
     assert m.count() == 5 and m.schema["nothing"].dataType.typeName() == "void"
 
 
+def test_scratch_paths_differ_and_are_deleted(spark):
+    assert scratch_path(spark, "a") != scratch_path(spark, "a")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    with scratch_scope(spark):
+        files = [materialize(spark.range(5)).inputFiles()[0] for _ in range(3)]
+        folders = [hadoop(f).getParent() for f in files]
+        fs = folders[0].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        assert all(fs.exists(p) for p in folders)
+    assert not any(fs.exists(p) for p in folders)
+
+
 class _Ctx:
     def __init__(self, master, registered=None):
         self.master, self.registered, self.calls = master, registered, 0

@@ -64,6 +64,13 @@ def test_fitted_equals_batch_and_persists(spark, skewed, tmp_path):
     np.testing.assert_allclose(a["neg"], b["neg"], rtol=1e-12)
 
 
+def test_values_below_the_fitted_minimum_are_clamped(spark):
+    fit = spark.createDataFrame([(float(x),) for x in [0, 0, 0, 1, 1, 2, 3, 500]], "x double")
+    model = SK.SkewLogEstimator(inputCols=["x"]).fit(fit)
+    got = [r.x for r in model.transform(spark.createDataFrame([(-500.0,), (0.0,), (3.0,), (None,)], "x double")).collect()]
+    assert got[0] == got[1] == pytest.approx(math.log1p(1)) and got[2] == pytest.approx(math.log1p(4)) and got[3] is None
+
+
 def test_population_scaler(spark):
     df = spark.createDataFrame([(1.0, 5.0), (2.0, 5.0), (4.0, 5.0)], "a double, c double")
     m = ML.PopulationStandardScaler(inputCols=["a", "c"], outputCols=["az", "cz"]).fit(df)
@@ -135,23 +142,22 @@ def test_report_on_empty_frame_lists_every_column(skewed):
     assert out.count() == 0 and out.columns == df.columns
 
 
-def test_stacked_path_wide_frame(skewed):
-    """30 columns take the stacked path: same statistics, every column listed
-    for an empty frame too."""
+@pytest.mark.parametrize("width", [23, 24, 30])
+def test_every_width_gives_the_same_form(skewed, width):
+    """The same statistics, and every column listed for an empty frame too."""
     from pyspark.sql import functions as F
 
     from loanlens.functions import aggs as A
 
     df, pdf = skewed
-    names = [f"p{i}" for i in range(30)]
+    names = [f"p{i}" for i in range(width)]
     wide = df.select("id", *[(F.col("pos") + F.lit(float(i))).alias(n) for i, n in enumerate(names)])
-    assert len(names) >= A.STACK_MIN_COLUMNS
     rep = {r.column_name: r for r in SK.skew_report(wide, exclude=["id"]).collect()}
     assert sorted(rep) == sorted(names)
     assert rep["p3"].skewness == pytest.approx(pdf["pos"].skew(), rel=1e-9)
     assert rep["p3"].min_value == pytest.approx(pdf["pos"].min() + 3.0)
     empty = SK.skew_report(wide.limit(0), exclude=["id"]).collect()
-    assert len(empty) == 30 and all(r.n == 0 and not r.selected for r in empty)
+    assert len(empty) == width and all(r.n == 0 and not r.selected for r in empty)
     got = SK.log_transform_skewed(wide, exclude=["id"]).select("id", "p0").toPandas()
     exp = pandas_reference(pdf[["id", "pos"]], ["id"])
     got = got.sort_values("id")["p0"].to_numpy()
