@@ -55,6 +55,12 @@ class _Table:
     def put(self, h: np.ndarray, values: np.ndarray) -> None:
         """New, different hashes."""
         self.used += len(h)
+        if 2 * self.used > len(self.keys):       # a batch of very many parts: a larger table
+            old = self.keys != 0
+            keys, numbers = self.keys[old], self.values[old]
+            self.__init__(1 << (2 * self.used - 1).bit_length())
+            self.put(np.concatenate((keys, h)), np.concatenate((numbers, values)))
+            return
         left, at = np.arange(len(h)), h & self.mask
         while len(left):
             free = self.keys[at] == 0
