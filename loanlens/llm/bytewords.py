@@ -45,7 +45,9 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string array; a null text has no bytes."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    col = col.cast(pa.large_string()).fill_null("")
+    col = col.cast(pa.large_string())
+    if col.null_count:
+        col = col.fill_null("")
     n = len(col)
     if n == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)

@@ -25,7 +25,7 @@ from . import bytewords as W
 
 PLAIN = ".,;:!?|#$%&*"
 #: parts remembered per worker; the memo starts anew beyond it
-MEMO = 500_000
+MEMO = 250_000
 #: parts to a library call
 GROUP = 512
 
