@@ -5,7 +5,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from loanlens.plans import catalog
+from loanlens.plans import catalog, credit_tables
 from tests.conftest import SF001, SF0001
 from tools.check_oracle import TABLES, digest
 
@@ -20,7 +20,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted({**catalog.ORACLE_SQL, **credit_tables.ORACLE_SQL}))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF001)
     srows, scols = [tuple(r) for r in df.collect()], df.columns
