@@ -245,6 +245,13 @@ SCHEMAS: dict[str, T.StructType] = {
         (_D, EXT_SOURCE_COLUMNS),
         (_D, FLAG_DOCUMENT_COLUMNS),
         (_D, FLAG_PHONE_COLUMNS),
+        # only named in SKEW_EXCLUDE; declared so that no batch types them by its rows
+        (_D, ["FLAG_EMAIL", "FLAG_PHONE", "REG_REGION_NOT_LIVE_REGION", "REG_REGION_NOT_WORK_REGION",
+              "LIVE_REGION_NOT_WORK_REGION", "REG_CITY_NOT_LIVE_CITY", "REG_CITY_NOT_WORK_CITY",
+              "LIVE_CITY_NOT_WORK_CITY", "OBS_30_CNT_SOCIAL_CIRCLE", "OBS_60_CNT_SOCIAL_CIRCLE"]),
+        (_S, ["NAME_TYPE_SUITE", "NAME_INCOME_TYPE", "NAME_EDUCATION_TYPE", "NAME_FAMILY_STATUS",
+              "NAME_HOUSING_TYPE", "OCCUPATION_TYPE", "ORGANIZATION_TYPE", "WALLSMATERIAL_MODE",
+              "FONDKAPREMONT_MODE", "HOUSETYPE_MODE", "WEEKDAY_APPR_PROCESS_START"]),
     ),
     "previous_application": _fields(
         (_L, ["SK_ID_PREV", "SK_ID_CURR"]),

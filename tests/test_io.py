@@ -36,3 +36,12 @@ def test_an_empty_column_stays_text(spark, tmp_path, value):
     pd.DataFrame({"k": [1, 2], "s": [None, value]}).to_csv(tmp_path / "b.csv", index=False)
     df = IO.read_csv_typed(spark, str(tmp_path / "b.csv"))
     assert dict(df.dtypes)["s"] == "string" and df.filter(F.col("s").isNull()).count() == 2 - (value is not None)
+
+
+def test_every_column_of_the_exclusion_list_has_a_declared_type():
+    from loanlens import config as C
+
+    declared = {f.name for s in C.SCHEMAS.values() for f in s.fields}
+    assert set(C.SKEW_EXCLUDE) <= declared
+    app = C.SCHEMAS["application_train"].names
+    assert len(app) == len(set(app))
