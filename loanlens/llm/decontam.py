@@ -136,10 +136,9 @@ def find_contamination(docs: DataFrame, bench: DataFrame, window: int = 13, k: i
     families = sorted(sizes)
     held = None
     if sum(sizes.values()) <= max_index:
-        index = {f: [] for f in families}
-        for r in items.select("family", "fp").distinct().collect():
-            index[r["family"]].append(r["fp"])
-        held = spark.sparkContext.broadcast({f: np.sort(np.array(v, np.int64)) for f, v in index.items()})
+        got = items.select("family", "fp").distinct().toArrow()       # 12 bytes a row on the driver
+        family, fp = got.column("family").to_numpy(), got.column("fp").to_numpy()
+        held = spark.sparkContext.broadcast({f: np.sort(fp[family == f]) for f in families})
     frame = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                         F.xxhash64(text_col).alias("version"),
                         F.col(text_col).cast("string").alias("text"))
