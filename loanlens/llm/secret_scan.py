@@ -1,8 +1,10 @@
 """Secret scans: candidates, and a random forest that removes false positives.
 
-Candidates are runs of 16 to 512 of ``A-Za-z0-9_+/=-`` with a digit or with
-both cases, and values of six characters or more that are assigned (``=`` or
-``:``) to a name with a secret-like word in it. Each gets features: length and
+Candidates are runs of 16 or more of ``A-Za-z0-9_+/=-`` with a digit or with
+both cases, and values of six bytes or more that are assigned (``=`` or ``:``)
+to a name with a secret-like word in it, whole up to their own end. Each gets
+features (longer ones one row per piece of at most 512 characters; the piece
+most like a secret gives the score): length and
 character classes, entropy, the mean log probability of its character
 transitions, the share of it that dictionary words cover, the words before and
 after it, the path of its document.
@@ -52,6 +54,7 @@ FEATURES = ("length", "digits", "uppers", "lowers", "symbols", "hexadecimal", "e
             "slashes", "test_path", "placeholder", "uuid", "prefix", "distinct")
 UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.I)
 WORD = re.compile(r"[^\W\d_]+|\d+")
+LEAD = re.compile(rb"[=>:]?[ \t]*[\"']?")
 
 
 def _run_table() -> np.ndarray:
@@ -60,10 +63,14 @@ def _run_table() -> np.ndarray:
     return t
 
 
+#: Bytes that end an assigned value.
+_STOPS = np.isin(np.arange(256), list(b" \t\n\r\f\v\"',;<>(){}[]"))
+
+
 def candidates(data: np.ndarray, offsets: np.ndarray):
     """(text index, start byte, end byte) of the candidates, in order."""
     starts, ends, first = W.find_words(data, offsets, _run_table())
-    long = np.flatnonzero((ends - starts >= 16) & (ends - starts <= 512))
+    long = np.flatnonzero(ends - starts >= 16)
     doc_of = np.searchsorted(first, long, side="right") - 1
     raw = data.tobytes()
     found: dict[tuple[int, int], int] = {}
@@ -76,16 +83,22 @@ def candidates(data: np.ndarray, offsets: np.ndarray):
             if 0 < cut < len(s.rstrip(b"=")) - 8:
                 a += cut + 1
             found[a, b] = d
+    stops = np.flatnonzero(_STOPS[data])
     for p in np.flatnonzero((data == 61) | (data == 58)).tolist():
         d = int(np.searchsorted(offsets, p, side="right")) - 1
         name = raw[max(int(offsets[d]), p - 48):p].decode(errors="ignore").rstrip(" \t\"'").lower()
         name = re.split(r"[\s,;(){}\[\]<>]", name)[-1]
         if not any(w in name for w in SECRET_WORDS):
             continue
-        tail = raw[p + 1:min(int(offsets[d + 1]), p + 600)]
-        m = re.match(rb"[=>:]?[ \t]*[\"']?([^\s\"',;<>(){}\[\]]{6,512})", tail)
-        if m:
-            found[p + 1 + m.start(1), p + 1 + m.end(1)] = d
+        hi = int(offsets[d + 1])
+        # up to the next stop, all of them ASCII, so no character is cut; from
+        # p + 1 where the sign after it leaves too little
+        for a in (LEAD.match(raw, p + 1, hi).end(), p + 1):
+            at = int(np.searchsorted(stops, a))
+            b = min(int(stops[at]), hi) if at < len(stops) else hi
+            if b - a >= 6:
+                found[a, b] = d
+                break
     out, end, owner = [], -1, -1
     for (a, b), d in sorted(found.items(), key=lambda x: (x[0][0], -x[0][1])):
         if a < end and d == owner:               # inside or across the one before: the longer stays
@@ -335,17 +348,21 @@ def train(spark, corpus: CorpusModel, findings: DataFrame | None = None, trees:
     return read_forest(model)
 
 
-def _scan(rows, data, offsets, paths, corpus, forest):
+def _scan(rows, data, offsets, paths, corpus, forest, piece: int = 512):
     """[(text index, start byte, end byte, score)] of the candidates of a slice."""
     found = candidates(data, offsets)
     if not found:
         return []
-    raw, x = data.tobytes(), []
+    raw, x, first = data.tobytes(), [], []
     for d, a, b in found:
         lo, hi = int(offsets[d]), int(offsets[d + 1])
-        x.append(describe(raw[max(lo, a - 60):a].decode(errors="ignore"), raw[a:b].decode(errors="replace"),
-                          raw[b:min(hi, b + 60)].decode(errors="ignore"), paths[d] or "", corpus))
-    score = forest.share(np.array(x))
+        before, after = raw[max(lo, a - 60):a].decode(errors="ignore"), raw[b:min(hi, b + 60)].decode(errors="ignore")
+        value = raw[a:b].decode(errors="replace")
+        step = -(-len(value) // -(-len(value) // piece))       # equal pieces of at most ``piece``
+        first.append(len(x))
+        for i in range(0, len(value), step):
+            x.append(describe(before, value[i:i + step], after, paths[d] or "", corpus))
+    score = np.maximum.reduceat(forest.share(np.array(x)), first)
     return [(d, a, b, float(s)) for (d, a, b), s in zip(found, score)]
 
 

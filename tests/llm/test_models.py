@@ -164,6 +164,26 @@ def test_scan_and_redact(spark, scanner):
     assert len(empty.words) == 0 and empty.coverage("abcdef") == 0.0
 
 
+def test_long_secrets_are_masked_whole(spark, scanner):
+    r = random.Random(6)
+    some = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    long, bare, twice = some(2000), "ghp_" + some(1500), some(700)
+    cjk = "".join(chr(r.randrange(0x4E00, 0x9FA0)) for _ in range(700))
+    rows = [(1, f'private_key = "{long}" river'), (2, f"stone {bare} river"), (3, f"token:{cjk} river"),
+            (4, f"token:x{cjk} river"), (5, f"token:xy{cjk}"), (6, "token=" * 3000 + " river"),
+            (7, f"stone token: {twice}\nsecret: {twice}")]
+    df = spark.createDataFrame([(i, t, "src", len(t)) for i, t in rows], "doc_id long, text string, source string, n_chars long")
+    found = secret_scan.scan(df, *scanner).collect()
+    texts = dict(rows)
+    assert all(texts[x.doc_id][x.start:x.end] == x.value for x in found)
+    assert {long, bare, cjk, "x" + cjk, "xy" + cjk, twice} <= {x.value for x in found}
+    clean = {x.doc_id: x.text for x in secret_scan.redact(df, *scanner).collect()}
+    assert clean[1] == 'private_key = "[SECRET]" river' and clean[2] == "stone [SECRET] river"
+    assert clean[7] == "stone token: [SECRET]\nsecret: [SECRET]"
+    for i, head in ((3, "token:"), (4, "token:"), (5, "token:")):       # masked whole or not at all
+        assert clean[i] in (texts[i], head + "[SECRET]" + (" river" if i < 5 else ""))
+
+
 # ---- PII ------------------------------------------------------------------
 
 def luhn(s):
