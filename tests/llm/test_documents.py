@@ -314,3 +314,25 @@ def test_every_long_exact_repeat_is_found(spark):
     need = set().union(*[s for s in seen.values() if len(s) > 1])
     got = substrings.repeated_passages(frame(spark, rows)).collect()
     assert need <= {x.doc_id for x in got} | {x.partner_id for x in got}
+
+
+def edited(words, step, tag):
+    return " ".join(f"{tag}{j}" if j % step == step // 2 else w for j, w in enumerate(words))
+
+
+def test_passages_with_many_edits_are_found_whole(spark):
+    r = random.Random(11)
+    rows, need = [], {}
+    for i, step in enumerate([8, 8, 8, 10, 10, 10, 12, 12, 16, 16]):          # no run of 16 words
+        words = prose(r, 100, 10**6).split()
+        rows += [(2 * i, f"{prose(r, 40, 10**6)} {' '.join(words)} {prose(r, 30, 10**6)}"),
+                 (2 * i + 1, f"{prose(r, 70, 10**6)} {edited(words, step, f'e{i}x')} {prose(r, 20, 10**6)}")]
+        need[2 * i] = (40, 140)
+        need[2 * i + 1] = (70, 170)
+    got = substrings.repeated_passages(frame(spark, rows)).collect()
+    assert {min(x.doc_id, x.partner_id) // 2 for x in got} == set(range(10))
+    for x in got:
+        for i, s, e in ((x.doc_id, x.start_word, x.end_word), (x.partner_id, x.partner_start, x.partner_end)):
+            # an end is at most ``reach`` words from the outer seed
+            assert s >= need[i][0] - 2 and e <= need[i][1] + 2 and e - s >= 80
+        assert abs(x.doc_id - x.partner_id) == 1 and x.identity >= 0.8
