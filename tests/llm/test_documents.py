@@ -336,3 +336,20 @@ def test_passages_with_many_edits_are_found_whole(spark):
             # an end is at most ``reach`` words from the outer seed
             assert s >= need[i][0] - 2 and e <= need[i][1] + 2 and e - s >= 80
         assert abs(x.doc_id - x.partner_id) == 1 and x.identity >= 0.8
+
+
+def test_passages_on_one_chain_are_told_apart(spark):
+    r = random.Random(12)
+    rows = []
+    for i in range(6):
+        one, two = (prose(r, 100, 10**6).split() for _ in range(2))
+        rows += [(2 * i + j, " ".join([prose(r, 20, 10**6), edited(one, 40, f"a{i}x{j}"), prose(r, 100, 10**6),
+                                       edited(two, 40, f"b{i}x{j}"), prose(r, 20, 10**6)])) for j in range(2)]
+    got = substrings.repeated_passages(frame(spark, rows)).collect()
+    assert all(x.doc_id // 2 == x.partner_id // 2 and x.identity >= 0.8 for x in got)
+    # 20 to 120 and 220 to 320 in either document
+    assert {(x.doc_id // 2, round(x.start_word, -1), round(x.end_word, -1)) for x in got} == \
+        {(i, s, s + 100) for i in range(6) for s in (20, 220)}
+    assert len({tuple(x) for x in got}) == len(got)
+    p = np.r_[0:60, 160:220, 400:430]
+    assert substrings.parts(p, p, 50, 0.8) == [(0, 60), (60, 120)]
