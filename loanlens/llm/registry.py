@@ -1,6 +1,20 @@
 """Queries of this subpackage and their DuckDB SQL."""
 
-from . import decontam, fingerprints, langid, packing, pii, secret_scan, simhash, substrings, tokens, toxicity
+from . import (
+    decontam,
+    fingerprints,
+    importance,
+    langid,
+    licenses,
+    packing,
+    pii,
+    ranked,
+    secret_scan,
+    simhash,
+    substrings,
+    tokens,
+    toxicity,
+)
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -13,5 +27,11 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_substrings": substrings.op9_substrings,
     "op10_simhash": simhash.op10_simhash,
+    "op11_importance": importance.op11_importance,
+    "op12_ranked_search": ranked.op12_ranked_search,
+    "op13_licenses": licenses.op13_licenses,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op11_importance": importance.ORACLE,
+    "op12_ranked_search": ranked.ORACLE,
 }
-ORACLE_SQL: dict[str, str] = {}
