@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from . import bytewords as W
 
 FP = "family int, fp bigint, pos int, near array<bigint>, at int"
@@ -207,7 +208,8 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, **kw) -> DataFrame:
     """``docs`` without the contaminated rows."""
     found = find_contamination(docs, bench, **kw).filter("contaminated").select("doc_id", "version")
     id_col, text_col = kw.get("id_col", "doc_id"), kw.get("text_col", "text")
-    bad = found.withColumnsRenamed({"doc_id": "bad_id", "version": "bad_version"})
+    # written first: its size is then known, and Spark broadcasts it where it is small instead of shuffling texts
+    bad = materialize(found.distinct().withColumnsRenamed({"doc_id": "bad_id", "version": "bad_version"}))
     return docs.join(bad, docs[id_col].cast("long").eqNullSafe(bad["bad_id"])
                      & (F.xxhash64(docs[text_col]) == bad["bad_version"]), "left_anti")
 

@@ -26,6 +26,7 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -372,11 +373,11 @@ def _strings(values) -> Column:
 
 
 def _table(signatures) -> Column:
-    """The rules as one array."""
+    """The rules as one array, from one literal."""
     kind = "array<struct<rule:int,label:string,priority:int,keywords:array<string>,pattern:string>>"
-    return F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(label).alias("label"), F.lit(priority).alias("priority"),
-                              _strings(keys).alias("keywords"), F.lit(pattern).alias("pattern"))
-                     for i, (label, priority, keys, pattern) in enumerate(signatures)]).cast(kind)
+    rows = [{"rule": i, "label": label, "priority": priority, "keywords": list(keys), "pattern": pattern}
+            for i, (label, priority, keys, pattern) in enumerate(signatures)]
+    return F.from_json(F.lit(json.dumps(rows)), kind)
 
 
 def scan(docs: DataFrame, phrases=PHRASES, signatures=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

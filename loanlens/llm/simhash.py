@@ -16,11 +16,13 @@ neighbours, whatever the data. With d = 1 the points are (i, fingerprint with
 bit i cleared), shared by two at most. Nothing is dropped either way. Distances
 over 2 are refused.
 
+The nodes are the fingerprints themselves, so two texts under one doc_id are
+two nodes, and rows without an id link and bridge like all others.
+
 Edge cases: a null or empty text has the zero fingerprint and links like any
-other; repeated rows are one node and each gets its row; a null doc_id keeps
-its row but names no component (its component is the smallest non-null doc_id
-reachable, null if there is none); extra columns are ignored; an empty table
-gives an empty result.
+other; repeated rows are one node and each gets its row; a row with a null
+doc_id gets the smallest non-null doc_id reachable, null if there is none;
+extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -76,8 +78,9 @@ def fingerprints_of(texts: pa.Array, shingle: int) -> np.ndarray:
 
 def signatures(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
-    """(doc_id, fp bigint): one row per row of ``docs``."""
-    frame = docs.select(F.col(id_col).cast("long").alias("doc_id"),
+    """(doc_id, version, fp bigint): one row per row of ``docs``; version is a
+    hash of the text."""
+    frame = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_version(F.col(text_col)).alias("version"),
                         F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
@@ -85,9 +88,13 @@ def signatures(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id",
             fp = fingerprints_of(b.column("text"), shingle)
             W.release()
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+                [b.column("doc_id"), b.column("version"), pa.array(fp.view(np.int64))], ["doc_id", "version", "fp"])
+
+    return frame.mapInArrow(run, "doc_id bigint, version bigint, fp bigint")
 
-    return frame.mapInArrow(run, "doc_id bigint, fp bigint")
+
+def text_version(text):
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def block_masks(blocks: int, max_bits: int) -> list[int]:
@@ -165,27 +172,52 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
+def _grouped(docs: DataFrame, shingle: int, max_bits: int, blocks: int, hot_bucket: int, id_col: str,
+             text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(signatures, (fp, root) of the fingerprints that link with others)."""
+    sig = materialize(signatures(docs, shingle, id_col, text_col))
+    nodes = materialize(sig.select("fp").distinct().select("fp", F.col("fp").alias("node")))
+    comp = materialize(components(links(nodes, max_bits, blocks, hot_bucket)))
+    return sig, comp.select(F.col("node").alias("fp"), F.col("component").alias("root"))
+
+
 def simhash_near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, blocks: int = 5,
                             hot_bucket: int = 64, id_col: str = "doc_id",
                             text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, fp, component_id."""
-    sig = materialize(signatures(docs, shingle, id_col, text_col))
-    nodes = materialize(sig.groupBy("fp").agg(F.min("doc_id").alias("node"))
-                        .filter("node is not null"))
-    comp = components(links(nodes, max_bits, blocks, hot_bucket))
-    named = (nodes.join(comp, "node", "left")
-             .select("fp", F.coalesce("component", "node").alias("component_id")))
-    return sig.join(named, "fp", "left").select("doc_id", "fp", "component_id")
-
-
-def keep_representatives(docs: DataFrame, **kw) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest
-    doc_id. Of several rows with that doc_id one stays."""
-    groups = simhash_near_duplicates(docs, **kw)
-    keep = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    orphans = docs.filter("doc_id is null")
-    return (docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-            .unionByName(orphans).select(*docs.columns))
+    sig, roots = _grouped(docs, shingle, max_bits, blocks, hot_bucket, id_col, text_col)
+    least = sig.groupBy("fp").agg(F.min("doc_id").alias("own")).join(roots, "fp", "left")
+    root = F.coalesce("root", "fp")
+    ids = least.groupBy(root.alias("root")).agg(F.min("own").alias("component_id"))
+    named = least.select("fp", root.alias("root")).join(ids, "root").select("fp", "component_id")
+    return sig.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_representatives(docs: DataFrame, shingle: int = 3, max_bits: int = 2, blocks: int = 5,
+                         hot_bucket: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group: the one with the smallest doc_id,
+    then the smallest hash of its text (two texts may share an id). Of rows that
+    agree in id and text one stays. Rows without an id cannot be named: they
+    stay. Only the keys of the rows that go are computed and written; the texts
+    are shuffled for them only where these keys are too many to broadcast by
+    Spark's own threshold."""
+    sig, roots = _grouped(docs, shingle, max_bits, blocks, hot_bucket, id_col, text_col)
+    keys = (sig.filter("doc_id is not null").groupBy("fp", "doc_id", "version")
+            .agg(F.count(F.lit(1)).alias("rows")))
+    grouped = materialize(keys.join(roots, "fp", "left").select(
+        F.coalesce("root", "fp").alias("root"), "rows", F.struct("doc_id", "version").alias("key")))
+    first = (grouped.groupBy("root").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("members"))
+             .filter("members > 1").select("root", "first"))
+    # sorted, so that Spark can split a group that holds a large share of the rows
+    gone = materialize(grouped.join(first.hint("merge"), "root").filter("key != first").select("key"))
+    again = materialize(grouped.filter("rows > 1").select("key"))
+    own = F.struct(docs[id_col].cast("long").alias("doc_id"), text_version(docs[text_col]).alias("version"))
+    if again.isEmpty():
+        return docs.join(gone, own == gone["key"], "left_anti")
+    twice = again.join(gone, "key", "left_anti")
+    out = gone.unionByName(again).distinct()
+    return (docs.join(out, own == out["key"], "left_anti")
+            .unionByName(docs.join(twice, own == twice["key"], "left_semi").dropDuplicates([id_col, text_col])))
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

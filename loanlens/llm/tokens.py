@@ -118,6 +118,15 @@ class Encoder:
         self.size = np.concatenate((self.size, sizes))
         self.pool = np.concatenate((self.pool, *ids))
 
+    def _letters(self, text: str) -> bool:
+        """Whether the text is all letters, also once the library has normalised
+        it: a capital whose lower case ends in a mark would give that mark to the
+        punctuation after it."""
+        if not text.isalpha():
+            return False
+        plain = text.isascii() or self.tok.normalizer is None
+        return plain or self.tok.normalizer.normalize_str(text).isalpha()
+
     def _parts(self, data, starts, ends, words: bool) -> np.ndarray:
         """Part number of every byte range. ``words``: ranges of letters or of
         plain punctuation, encoded many per library call; else one by one."""
@@ -132,7 +141,7 @@ class Encoder:
         raw = data.tobytes()
         texts = [raw[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist())]
         if words:
-            good = np.array([t.isalpha() or t[0] in PLAIN for t in texts])
+            good = np.array([t[0] in PLAIN or self._letters(t) for t in texts])
             self.table.put(keys[~good], np.ones(int((~good).sum()), np.int32))
             texts = [t for t, g in zip(texts, good) if g]
             keys = keys[good]

@@ -231,6 +231,37 @@ def test_simhash_repeated_and_null_rows(spark):
     assert simhash.simhash_near_duplicates(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_simhash_of_texts_that_share_ids_or_have_none(spark, seed):
+    """Nodes are texts: two texts under one id, and rows without an id, link and
+    bridge as any other; no text is lost whose group keeps no copy."""
+    r = random.Random(seed)
+    base = [prose(r, 120) for _ in range(3)]
+    rows = []
+    for n in range(90):
+        w = r.choice(base).split()
+        for _ in range(r.choice([0, 0, 1, 2, 5])):
+            w[r.randrange(len(w))] = f"n{n}"
+        rows.append((r.choice([None, *range(25)]), " ".join(w)))
+    rows += [(3, "a b c d"), (3, "totally other words here"), (5, "totally other words here"), (None, None), (7, "")]
+    rows += rows[:6]
+    groups = brute_components({n: brute_fingerprint(t) for n, (_, t) in enumerate(rows)}, 2)
+    least = {}
+    for n, (i, _) in enumerate(rows):
+        if i is not None:
+            least[groups[n]] = min(i, least.get(groups[n], i))
+    got = simhash.simhash_near_duplicates(frame(spark, rows)).collect()
+    key = lambda x: (str(x[0]), str(x[1]), str(x[2]))
+    assert sorted(((x.doc_id, x.fp % (1 << 64), x.component_id) for x in got), key=key) == sorted(
+        ((i, brute_fingerprint(t), least.get(groups[n])) for n, (i, t) in enumerate(rows)), key=key)
+    kept = [(x.doc_id, x.text) for x in simhash.keep_representatives(frame(spark, rows)).collect()]
+    named = [k for k in kept if k[0] is not None]
+    of = {k: groups[n] for n, k in enumerate(rows)}
+    assert len(named) == len({of[k] for k in named}) == len(least)           # one row of every group with an id
+    assert all(k[0] == least[of[k]] for k in named)
+    assert sorted(str(k) for k in kept if k[0] is None) == sorted(str(k) for k in rows if k[0] is None)
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(200)], "a long, b long")
     assert {x.component for x in simhash.components(edges).collect()} == {0}

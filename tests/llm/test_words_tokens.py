@@ -94,3 +94,25 @@ def test_count_tokens_cases(spark):
     assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in got) == want
     assert all(r.over_limit == (r.n_tokens > 2048) for r in got)
     assert tokens.count_tokens(df.limit(0), PATH).count() == 0
+
+
+def test_random_strings_equal_the_library():
+    """100,000 strings of letters of many scripts, marks that normalisation makes
+    or moves, half-width forms, digits and every plain sign."""
+    r = random.Random(8)
+    letters = list("abzABZiI") + list("İıſKÅßẞçÇéÉñÑŽžΩωЖжאبकक्षกำ日本語ｱﾞＡａ한글각ǅﬁªº") + ["i\u0307", "e\u0301", "\u0301", "\u0345"]
+    signs = list(tokens.PLAIN) + list("'\"-_()/\\@^~`<>=+[]{}") + list("0129²½٣") + ["…", "、", "¿", "€"]
+    strings = []
+    for _ in range(100_000):
+        s = "".join(r.choice(letters) for _ in range(r.randrange(5)))
+        s += "".join(r.choice(signs) for _ in range(r.randrange(3)))
+        if r.random() < 0.4:
+            s += r.choice([" ", "", "\n"]) + "".join(r.choice(letters) for _ in range(r.randrange(4))) + r.choice(signs)
+        strings.append(s)
+    strings += ["ALİ.", "VELİ, ALİ", "İ!", "İ?İ,"]
+    want = [e.ids for e in Tokenizer.from_file(PATH).encode_batch_fast(strings, add_special_tokens=False)]
+    enc = tokens.Encoder(PATH)
+    ids, offsets = enc.ids(strings)
+    got = [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])]
+    assert [(s, g, w) for s, g, w in zip(strings, got, want) if g != w] == []
+    assert enc.lengths(strings).tolist() == [len(w) for w in want]
