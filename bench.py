@@ -18,7 +18,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from loanlens.plans import catalog  # noqa: E402
+from loanlens.plans import catalog, history  # noqa: E402
 from loanlens.session import get_spark, scratch_scope  # noqa: E402
 
 HEADLINE = [
@@ -30,9 +30,14 @@ HEADLINE = [
     "feature_mart", "prev_mart", "card_mart", "pos_mart", "row_features", "clean_previous",
     "clean_application",
     "f1_grid", "csv_roundtrip", "bundle_load", "encode_matrix", "score_average", "train_score",
+    # comparisons, time joins and the stateful stream
+    "auc_compare", "asof_status", "overlap_credits", "arrears_runs", "stream_rollup",
 ]
 
 
+QUERIES = {**catalog.QUERIES, **history.QUERIES}
+
+
 def main():
     d = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
@@ -45,10 +50,10 @@ def main():
     if os.path.isdir(warm):
         for name in names:
             with scratch_scope(spark):
-                catalog.QUERIES[name](spark, warm).write.format("noop").mode("overwrite").save()
+                QUERIES[name](spark, warm).write.format("noop").mode("overwrite").save()
     times = {}
     for name in names:
-        fn = catalog.QUERIES[name]
+        fn = QUERIES[name]
         t0 = time.perf_counter()
         with scratch_scope(spark):
             fn(spark, d).write.format("noop").mode("overwrite").save()

@@ -5,7 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as E
-from loanlens.plans import catalog
+from loanlens.plans import catalog, credit_tables, history
 from tests.conftest import SF0001
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF0001), reason="driver tables not present")
@@ -25,6 +25,23 @@ def test_no_pairs_no_python_no_expand(spark, name):
         assert op not in plan, f"{name}: {op} in plan"
 
 
+@pytest.mark.parametrize("name", sorted({*history.QUERIES, *credit_tables.QUERIES}))
+def test_no_pairs_in_history_and_credit_queries(spark, name):
+    plan = plan_of(E.queries()[name](spark, SF0001))
+    for op in FORBIDDEN[:4]:
+        assert op not in plan, f"{name}: {op} in plan"
+
+
+def test_overlaps_are_an_equi_join_on_cells(spark):
+    plan = plan_of(E.queries()["overlap_credits"](spark, SF0001))
+    assert re.search(r"(SortMerge|BroadcastHash|ShuffledHash)Join \[k#\w+, level#\w+, cell#\w+\]", plan)
+
+
+def test_asof_join_shuffles_rows_once(spark):
+    plan = plan_of(E.queries()["asof_status"](spark, SF0001))
+    assert plan.count("Exchange hashpartitioning(__k0") == 1 and "Window" in plan
+
+
 def test_rollup_scan_is_pruned_and_filtered(spark):
     plan = plan_of(E.queries()["mode_text"](spark, SF0001))
     schema = re.search(r"ReadSchema: struct<([^>]*)>", plan).group(1)
