@@ -95,31 +95,29 @@ def benchmark_fingerprints(bench: DataFrame, window: int, k: int, id_col: str =
     return frame.mapInArrow(run, "item string, " + FP)
 
 
-def _extend(batches, k, window):
-    """Hits to word ranges [s, e); document rows (family -1) pass."""
-    for b in batches:
-        cols = {n: b.column(n).to_pylist() for n in ("family", "pos", "near", "at", "b_near", "b_at")}
-        s, e = [], []
-        for family, pos, x, p, y, q in zip(*cols.values()):
-            if family < 0:
-                s.append(None)
-                e.append(None)
-                continue
-            n = k if family == 0 else family
-            left = 0
-            while left < p and left < q and x[p - left - 1] == y[q - left - 1]:
-                left += 1
-            right = 0
-            while p + right < len(x) and q + right < len(y) and x[p + right] == y[q + right]:
-                right += 1
-            found = right >= n and left + right >= (window if family == 0 else family)
-            s.append(pos - left if found else None)
-            e.append(pos + right if found else None)
-        yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), b.column("version"), b.column("n_words"),
-             pa.array([int(f < 0) for f in cols["family"]], pa.int32()),
-             pa.array(s, pa.int64()), pa.array(e, pa.int64()), b.column("item")],
-            ["doc_id", "version", "n_words", "copy", "s", "e", "item"])
+def _in_common(x, y):
+    """Length of the common beginning of two arrays."""
+    end = F.array_position(F.zip_with(x, y, lambda a, b: F.coalesce(a == b, F.lit(False))), False)
+    return F.when(end == 0, F.size(x)).otherwise(end - 1).cast("bigint")
+
+
+def _extended(met: DataFrame, k: int, window: int) -> DataFrame:
+    """Hits to word ranges [s, e), extended word by word in both directions;
+    document rows (family -1) pass without a range. In DataFrame functions: a
+    second Python worker per task would stand beside the one that finds the
+    fingerprints."""
+    family = F.col("family")
+    left = _in_common(F.reverse(F.slice("near", F.lit(1), F.col("at"))),
+                      F.reverse(F.slice("b_near", F.lit(1), F.col("b_at"))))
+    right = _in_common(F.slice("near", F.col("at") + 1, F.size("near")),
+                       F.slice("b_near", F.col("b_at") + 1, F.size("b_near")))
+    hit = family >= 0
+    met = met.withColumns({"left": F.when(hit, left), "right": F.when(hit, right)})
+    found = (hit & (F.col("right") >= F.when(family == 0, k).otherwise(family))
+             & (F.col("left") + F.col("right") >= F.when(family == 0, window).otherwise(family)))
+    return met.select("doc_id", "version", "n_words", (~hit).cast("int").alias("copy"),
+                      F.when(found, F.col("pos") - F.col("left")).alias("s"),
+                      F.when(found, F.col("pos") + F.col("right")).alias("e"), "item")
 
 
 def find_contamination(docs: DataFrame, bench: DataFrame, window: int = 13, k: int = 5,
@@ -174,10 +172,7 @@ def find_contamination(docs: DataFrame, bench: DataFrame, window: int = 13, k: i
     b = items.select("family", "fp", "item", F.col("near").alias("b_near"), F.col("at").alias("b_at"))
     # a document row meets no item (family -1) and stays through the left join
     met = prints.join(b, ["family", "fp"], "left").filter("family = -1 or b_near is not null")
-    ranges = met.select("doc_id", "version", "n_words", "family", "pos", "near", "at", "b_near", "b_at",
-                        "item").mapInArrow(
-        lambda it: _extend(it, k, window),
-        "doc_id bigint, version bigint, n_words bigint, copy int, s bigint, e bigint, item string")
+    ranges = _extended(met, k, window)
     per = ranges.groupBy("doc_id", "version").agg(
         F.max("n_words").alias("n_words"), F.sum("copy").alias("copies"),
         F.collect_set(F.when(F.col("s").isNotNull(), F.struct("s", "e"))).alias("hits"),
