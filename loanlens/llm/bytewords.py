@@ -65,6 +65,21 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+BATCH = 1 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(frame):
+    """``frame``, whose session now sends its Arrow tasks batches of about 1 MB
+    (a session-wide setting; a smaller one stays). Spark's default of 64 MB is
+    held twice, by the JVM and by the Python worker, for every task."""
+    conf = frame.sparkSession.conf
+    now = frame.sparkSession.sql(f"SET {_BATCH_CONF}").first()["value"]
+    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH or int(now.rstrip("b")) <= 0:
+        conf.set(_BATCH_CONF, str(BATCH))
+    return frame
+
+
 def slices(table, limit: int = 1 << 20, column: str = "text", rows: int = 1 << 16):
     """Row slices of a record batch with about ``limit`` text bytes each (one
     longer text stands alone) and at most ``rows`` rows."""

@@ -92,7 +92,7 @@ def benchmark_fingerprints(bench: DataFrame, window: int, k: int, id_col: str =
                             near.take(pa.array(keep)), pa.array(place[keep].astype(np.int32))],
                             ["item", "family", "fp", "pos", "near", "at"])
 
-    return frame.mapInArrow(run, "item string, " + FP)
+    return W.small_batches(frame).mapInArrow(run, "item string, " + FP)
 
 
 def _in_common(x, y):
@@ -168,7 +168,7 @@ def find_contamination(docs: DataFrame, bench: DataFrame, window: int = 13, k: i
                          pa.array(place.astype(np.int32))],
                         ["doc_id", "version", "n_words", "family", "fp", "pos", "near", "at"])
 
-    prints = frame.mapInArrow(run, "doc_id bigint, version bigint, n_words bigint, " + FP)
+    prints = W.small_batches(frame).mapInArrow(run, "doc_id bigint, version bigint, n_words bigint, " + FP)
     b = items.select("family", "fp", "item", F.col("near").alias("b_near"), F.col("at").alias("b_at"))
     # a document row meets no item (family -1) and stays through the left join
     met = prints.join(b, ["family", "fp"], "left").filter("family = -1 or b_near is not null")

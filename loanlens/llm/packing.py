@@ -32,11 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from . import bytewords as W
 from .tokens import Encoder, batches_of, segments
 
 
 def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int, with_ids: bool = False,
-              id_col: str = "doc_id", text_col: str = "text", segment: int = 4 << 20) -> DataFrame:
+              id_col: str = "doc_id", text_col: str = "text", segment: int = 1 << 20) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, row (unique key), and the
     ids where asked for: the windows cut off each document and its remainder."""
     frame = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -75,7 +76,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int, with_ids:
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return frame.mapInArrow(run, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, "
+    return W.small_batches(frame).mapInArrow(run, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, "
                                  "doc_tokens bigint, row bigint" + ", ids array<int>" * with_ids)
 
 

@@ -184,7 +184,7 @@ def corpus_model(docs: DataFrame, n_words: int = 20_000, text_col: str = "text")
                      pa.array(u[lo:lo + (1 << 16)].view(np.int64)), pa.array(n[lo:lo + (1 << 16)].astype(np.int64))],
                     ["kind", "key", "n"])
 
-    counts = frame.mapInArrow(run, "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    counts = W.small_batches(frame).mapInArrow(run, "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     # one job: at most 128 * 128 transitions rank before the words
     top = (counts.orderBy("kind", F.desc("n"), "key").limit((1 << 14) + n_words)).toArrow()
     kind, key, n = (top.column(c).to_numpy() for c in ("kind", "key", "n"))
@@ -392,7 +392,7 @@ def scan(docs: DataFrame, corpus: CorpusModel, forest: Forest, id_col: str = "do
                      pa.array(s), pa.array([v >= 0.5 for v in s])],
                     ["doc_id", "start", "end", "value", "score", "is_secret"])
 
-    return frame.mapInArrow(run, f"doc_id {kind}, start bigint, end bigint, value string, score double, "
+    return W.small_batches(frame).mapInArrow(run, f"doc_id {kind}, start bigint, end bigint, value string, score double, "
                                  "is_secret boolean")
 
 
@@ -429,7 +429,7 @@ def redact(docs: DataFrame, corpus: CorpusModel, forest: Forest, text_col: str =
                     cols[length_col] = pa.array(n, cols[length_col].type)
                 yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
-    return docs.mapInArrow(run, schema)
+    return W.small_batches(docs).mapInArrow(run, schema)
 
 
 def op6_secrets(spark, sf_dir: str) -> DataFrame:

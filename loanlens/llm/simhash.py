@@ -90,7 +90,7 @@ def signatures(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("version"), pa.array(fp.view(np.int64))], ["doc_id", "version", "fp"])
 
-    return frame.mapInArrow(run, "doc_id bigint, version bigint, fp bigint")
+    return W.small_batches(frame).mapInArrow(run, "doc_id bigint, version bigint, fp bigint")
 
 
 def text_version(text):

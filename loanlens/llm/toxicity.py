@@ -49,6 +49,8 @@ IDENTITY_GROUPS = (
 
 #: lengths in bytes of the word beginnings that are features of their own
 STEMS = (3, 4, 5, 6, 7)
+#: text bytes handled at a time: words and their beginnings take some 200 times as much
+SLICE = 1 << 19
 
 
 @dataclass
@@ -131,7 +133,7 @@ def _training_rows(docs: DataFrame, labels: DataFrame, groups, max_rows: int, id
 
     def run(batches):
         for b in batches:
-            for rows, _, _ in W.slices(b):
+            for rows, _, _ in W.slices(b, SLICE):
                 texts = [t or "" for t in rows.column("text").to_pylist()]
                 words, twins = features(texts), [None] * len(texts)
                 changed = [(i, s) for i, (t, s) in enumerate(zip(texts, map(swap, texts))) if s != t]
@@ -143,7 +145,7 @@ def _training_rows(docs: DataFrame, labels: DataFrame, groups, max_rows: int, id
                     [rows.column("label"), pa.array(words, kind), pa.array(twins, kind)],
                     ["label", "words", "twin"])
 
-    return materialize(frame.mapInArrow(run, "label int, words array<bigint>, twin array<bigint>"))
+    return materialize(W.small_batches(frame).mapInArrow(run, "label int, words array<bigint>, twin array<bigint>"))
 
 
 def _optimise(rows, cols, y, n_words, twin_rows, twin_cols, twin_sign, n_twins, l2, swap_weight,
@@ -209,7 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, groups=IDENTITY_GROUPS, max_rows:
                 [b.column("label"), pa.array(map(to_cols, b.column("words").to_pylist()), kind),
                  pa.array(map(to_cols, b.column("twin").to_pylist()), kind)], ["label", "words", "twin"])
 
-    got = rows.mapInArrow(reduce, "label int, words array<int>, twin array<int>").toArrow()
+    got = W.small_batches(rows).mapInArrow(reduce, "label int, words array<int>, twin array<int>").toArrow()
     y = (got.column("label").to_numpy() == 1).astype(float)
     lists = got.column("words").combine_chunks()
     cols = lists.flatten().to_numpy()
@@ -241,13 +243,13 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 
     def run(batches):
         for b in batches:
-            for rows, data, offsets in W.slices(b):
+            for rows, data, offsets in W.slices(b, SLICE):
                 s = model.score(data, offsets)
                 yield pa.RecordBatch.from_arrays(
                     [rows.column("doc_id"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))],
                     ["doc_id", "score", "predicted"])
 
-    return frame.mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    return W.small_batches(frame).mapInArrow(run, f"doc_id {kind}, score double, predicted int")
 
 
 def reject_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
@@ -256,10 +258,10 @@ def reject_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text")
 
     def run(batches):
         for b in batches:
-            for rows, data, offsets in W.slices(b, column=text_col):
+            for rows, data, offsets in W.slices(b, SLICE, text_col):
                 yield rows.filter(pa.array(model.score(data, offsets) < 0.5))
 
-    return docs.mapInArrow(run, schema)
+    return W.small_batches(docs).mapInArrow(run, schema)
 
 
 def train_fold(docs: DataFrame, labels: DataFrame, **kw) -> ToxicityModel:
