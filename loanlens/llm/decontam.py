@@ -215,3 +215,26 @@ def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
     out = find_contamination(docs, bench, window=13, k=5, share=20)
     return out.select("doc_id", "n_words", "n_hit", "n_items",
                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+_WORDS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+          r"'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+
+ORACLE = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+b AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
+w AS (SELECT DISTINCT item_id, size, array_to_string(ws[i:i + size - 1], ' ') AS gram
+      FROM (SELECT item_id, ws, size, unnest(range(1, len(ws) - size + 2)) AS i
+            FROM (SELECT item_id, ws, least(13, len(ws)) AS size FROM b WHERE len(ws) > 0))),
+p AS (SELECT doc_id, i, size, array_to_string(ws[i:i + size - 1], ' ') AS gram
+      FROM (SELECT doc_id, ws, size, unnest(range(1, len(ws) - size + 2)) AS i
+            FROM d, (SELECT DISTINCT size FROM w) WHERE len(ws) >= size)),
+h AS (SELECT doc_id, i, size, item_id FROM p JOIN w USING (size, gram)),
+n AS (SELECT doc_id, CAST(count(DISTINCT place) AS BIGINT) AS n_hit
+      FROM (SELECT doc_id, unnest(range(i, i + size)) AS place FROM (SELECT DISTINCT doc_id, i, size FROM h)) GROUP BY doc_id),
+t AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS items FROM h GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
+  coalesce(n_hit > 0 AND 20 * n_hit >= len(ws), false) AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)
+"""

@@ -32,6 +32,7 @@ QUERIES = {
     "op13_licenses": licenses.op13_licenses,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op7_decontaminate": decontam.ORACLE,
     "op11_importance": importance.ORACLE,
     "op12_ranked_search": ranked.ORACLE,
 }
