@@ -5,7 +5,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from loanlens.plans import catalog, credit_tables, history
+from loanlens.plans import catalog, credit_tables, history, increments
 from tests.conftest import SF001, SF0001
 from tools.check_oracle import TABLES, digest
 
@@ -20,7 +20,8 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted({**catalog.ORACLE_SQL, **credit_tables.ORACLE_SQL, **history.ORACLE_SQL}))
+@pytest.mark.parametrize("name", sorted({**catalog.ORACLE_SQL, **credit_tables.ORACLE_SQL, **history.ORACLE_SQL,
+                                         **increments.ORACLE_SQL}))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF001)
     srows, scols = [tuple(r) for r in df.collect()], df.columns
@@ -34,6 +35,7 @@ def test_query_matches_oracle(spark, con, name):
 def test_every_query_has_oracle_or_is_training():
     assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == {"train_score"}
     assert set(history.QUERIES) == set(history.ORACLE_SQL)
+    assert set(increments.QUERIES) == set(increments.ORACLE_SQL)
 
 
 def test_entry_smoke(spark):

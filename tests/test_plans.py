@@ -5,7 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as E
-from loanlens.plans import catalog, credit_tables, history
+from loanlens.plans import catalog, credit_tables, history, increments
 from tests.conftest import SF0001
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF0001), reason="driver tables not present")
@@ -25,7 +25,7 @@ def test_no_pairs_no_python_no_expand(spark, name):
         assert op not in plan, f"{name}: {op} in plan"
 
 
-@pytest.mark.parametrize("name", sorted({*history.QUERIES, *credit_tables.QUERIES}))
+@pytest.mark.parametrize("name", sorted({*history.QUERIES, *credit_tables.QUERIES, *increments.QUERIES}))
 def test_no_pairs_in_history_and_credit_queries(spark, name):
     plan = plan_of(E.queries()[name](spark, SF0001))
     for op in FORBIDDEN[:4]:
