@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..operators import calibrate as CB
 from ..operators import mergeable as MG
+from ..operators import snapshots as SN
 from ..session import materialize
 from .catalog import SQL_SHIFT, rnd, rnd_doubles, tbl
 
@@ -88,13 +89,83 @@ SELECT r.doc_id, r.quality, r.score, round({SQL_SHIFT}f.value, 6) AS calibrated
 FROM r LEFT JOIN s ON s.score = r.score LEFT JOIN f ON f.i = s.i"""
 
 
+# -- snapshots -------------------------------------------------------------------------------
+
+def open_lines(spark, d, day: str) -> DataFrame:
+    """What is still to be shipped on ``day`` of the orders made until then, per order."""
+    o = tbl(spark, d, "orders").filter(F.col("o_orderdate") <= F.lit(day).cast("timestamp"))
+    x = tbl(spark, d, "lineitem").filter(F.col("l_shipdate") > F.lit(day).cast("timestamp"))
+    return (x.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+            .groupBy("o_custkey", "o_orderkey")
+            .agg(F.count(F.lit(1)).alias("open_lines"), F.min("l_shipdate").alias("next_day"),
+                 F.max("l_returnflag").alias("worst")))
+
+
+DAYS = ("1996-06-30", "1996-08-15")
+
+
+def q_snapshot_diff(spark, d):
+    return SN.snapshot_diff(open_lines(spark, d, DAYS[0]), open_lines(spark, d, DAYS[1]), ["o_custkey"])
+
+
+def _sql_open(day: str) -> str:
+    return f"""SELECT o_custkey, o_orderkey, count(*) AS open_lines, min(l_shipdate) AS next_day, max(l_returnflag) AS worst
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  WHERE o_orderdate <= TIMESTAMP '{day}' AND l_shipdate > TIMESTAMP '{day}' GROUP BY o_custkey, o_orderkey"""
+
+
+_DIFFERING = ", ".join(f"CASE WHEN o.{c} IS DISTINCT FROM n.{c} THEN '{c}' END"
+                       for c in ("next_day", "o_orderkey", "open_lines", "worst"))
+SQL_SNAPSHOT = f"""
+WITH a AS ({_sql_open(DAYS[0])}), b AS ({_sql_open(DAYS[1])}),
+o AS (SELECT * FROM a EXCEPT ALL SELECT * FROM b), n AS (SELECT * FROM b EXCEPT ALL SELECT * FROM a),
+c AS (SELECT o_custkey, CAST(sum(i) AS BIGINT) AS n_old, CAST(sum(j) AS BIGINT) AS n_new
+      FROM (SELECT o_custkey, 1 AS i, 0 AS j FROM o UNION ALL SELECT o_custkey, 0, 1 FROM n) GROUP BY o_custkey),
+w AS (SELECT o.o_custkey, concat_ws(',', {_DIFFERING}) AS names
+      FROM o JOIN n ON o.o_custkey = n.o_custkey JOIN c ON c.o_custkey = o.o_custkey WHERE n_old = 1 AND n_new = 1)
+SELECT c.o_custkey, CASE WHEN n_old = 0 THEN 'added' WHEN n_new = 0 THEN 'removed' ELSE 'changed' END AS change,
+  n_old, n_new, w.names AS changed_columns
+FROM c LEFT JOIN w ON w.o_custkey = c.o_custkey"""
+
+
+# -- levels of a report ------------------------------------------------------------------------
+
+def q_default_cube(spark, d):
+    """Share of returned lines by market segment, region and order year, on every level
+    with at least 20 lines."""
+    o = tbl(spark, d, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("order_year"))
+    c = tbl(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment", "c_nationkey")
+    n = (tbl(spark, d, "nation").join(tbl(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+         .select(F.col("n_nationkey").alias("c_nationkey"), "r_name"))
+    x = tbl(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag", "l_quantity")
+    rows = x.join(o, "o_orderkey").join(c, "o_custkey", "left").join(n, "c_nationkey", "left")
+    out = SN.cube_report(rows, ["c_mktsegment", "r_name", "order_year"], F.col("l_returnflag") == "R",
+                         F.col("l_quantity"), min_rows=20)
+    return rnd(out, ["rate", "amount"])
+
+
+SQL_CUBE = f"""
+SELECT c_mktsegment, r_name, CAST(year(o_orderdate) AS INTEGER) AS order_year,
+  CAST(grouping(c_mktsegment, r_name, year(o_orderdate)) AS INTEGER) AS level,
+  count(*) AS n_rows, CAST(count(*) FILTER (WHERE l_returnflag = 'R') AS BIGINT) AS n_flagged,
+  round({SQL_SHIFT}CAST(count(*) FILTER (WHERE l_returnflag = 'R') AS DOUBLE) / nullif(count(l_returnflag), 0), 6) AS rate,
+  round({SQL_SHIFT}sum(l_quantity), 6) AS amount
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON c_custkey = o_custkey
+LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey
+GROUP BY CUBE (c_mktsegment, r_name, year(o_orderdate)) HAVING count(*) >= 20"""
+
+
 QUERIES = {
     "moments_merge": q_moments_merge,
     "sketch_merge": q_sketch_merge,
     "calibrated_score": q_calibrated_score,
+    "snapshot_diff": q_snapshot_diff,
+    "default_cube": q_default_cube,
 }
 ORACLE_SQL = {
     "moments_merge": SQL_MOMENTS,
     "sketch_merge": SQL_SKETCH,
     "calibrated_score": SQL_CALIBRATED,
+    "snapshot_diff": SQL_SNAPSHOT,
+    "default_cube": SQL_CUBE,
 }
