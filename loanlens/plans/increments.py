@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..operators import calibrate as CB
+from ..operators import leafwise as LW
 from ..operators import mergeable as MG
+from ..operators import metrics as MT
 from ..operators import snapshots as SN
+from ..operators import stacking as ST
 from ..session import materialize
-from .catalog import SQL_SHIFT, rnd, rnd_doubles, tbl
+from .catalog import SQL_SHIFT, doc_features, rnd, rnd_doubles, tbl
 
 # -- G1/G2 from states ---------------------------------------------------------------
 
@@ -155,12 +158,49 @@ LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey =
 GROUP BY CUBE (c_mktsegment, r_name, year(o_orderdate)) HAVING count(*) >= 20"""
 
 
+# -- G7 leaf by leaf, G8 stacked ------------------------------------------------------------------
+
+DOC_NUMBERS = ["n_chars", "n_words", "n_lines"]
+FLOOR = 0.6
+
+
+def leafwise_scores(spark, d) -> DataFrame:
+    """doc_id, quality, held_out, score, prediction of all labelled documents; the trees
+    are fitted without the fifth that is held out by key."""
+    rows = materialize(doc_features(spark, d).withColumn("held_out", ST.fold_of("doc_id", 5, 42) == 0))
+    model = LW.fit_leafwise(rows.filter(~F.col("held_out")), DOC_NUMBERS, "quality", trees=6, leaves=8, rate=0.3)
+    return model.transform(rows).select("doc_id", "quality", "held_out", "score", "prediction")
+
+
+def q_leafwise_floor(spark, d):
+    """The trees as one row that SQL can state: labelled rows, positives, scores inside
+    0..1, and whether the held-out AUC reaches ``FLOOR``."""
+    scored = materialize(leafwise_scores(spark, d))
+    auc = MT.roc_auc(scored.filter("held_out"), "score", "quality").select((F.col("auc") >= FLOOR).alias("auc_ok"))
+    out = scored.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("quality") == 1).alias("n_pos"),
+                     F.count_if(F.col("score").between(0.0, 1.0)).alias("n_scores"))
+    return out.withColumn("auc_ok", auc.scalar())
+
+
+SQL_FLOOR = """SELECT count(*) AS n_rows, count(*) FILTER (WHERE quality = 1) AS n_pos, count(*) AS n_scores, TRUE AS auc_ok
+FROM labels JOIN documents USING (doc_id)"""
+
+
+def q_stacked_score(spark, d):
+    """Out-of-fold scores of the members and of their learned combination."""
+    _, scores = ST.train_stacked(doc_features(spark, d), key="doc_id", label="quality", folds=3, numeric=DOC_NUMBERS,
+                                 categorical=["lang", "source"], gbt_iter=10, filter_column="source", filter_value="XNA")
+    return scores
+
+
 QUERIES = {
     "moments_merge": q_moments_merge,
     "sketch_merge": q_sketch_merge,
     "calibrated_score": q_calibrated_score,
     "snapshot_diff": q_snapshot_diff,
     "default_cube": q_default_cube,
+    "leafwise_floor": q_leafwise_floor,
+    "stacked_score": q_stacked_score,
 }
 ORACLE_SQL = {
     "moments_merge": SQL_MOMENTS,
@@ -168,4 +208,5 @@ ORACLE_SQL = {
     "calibrated_score": SQL_CALIBRATED,
     "snapshot_diff": SQL_SNAPSHOT,
     "default_cube": SQL_CUBE,
+    "leafwise_floor": SQL_FLOOR,
 }
