@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -278,20 +279,90 @@ def test_chain_follows_both_orders():
     assert long.tolist() == [0, 1, 3, 4]
 
 
-def test_common_subsequence_equals_brute_force():
+def longest_common(a, b):
+    t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, p in enumerate(a):
+        for j, q in enumerate(b):
+            t[i + 1][j + 1] = t[i][j] + 1 if p == q else max(t[i][j + 1], t[i + 1][j])
+    return t
+
+
+def random_words(r, most, kinds):
+    return np.array([r.randrange(kinds) for _ in range(r.randrange(most))], np.uint64)
+
+
+def in_order(a, b, i, j):
+    return (a[i] == b[j]).all() and (np.diff(i) > 0).all() and (np.diff(j) > 0).all()
+
+
+@pytest.mark.parametrize("limit", [250_000, 40, 1])
+def test_common_pairs_equal_brute_force(limit):
     r = random.Random(8)
+    jobs = [(random_words(r, 30, k), random_words(r, 30, k), 0.0) for k in (2, 4, 40) for _ in range(80)]
+    for (a, b, _), (i, j) in zip(jobs, substrings.common_pairs_of(jobs, limit, together=3000)):
+        assert len(i) == len(j) == longest_common(a.tolist(), b.tolist())[-1][-1]
+        assert in_order(a, b, i, j)
 
-    def brute(a, b):
-        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i, p in enumerate(a):
-            for j, q in enumerate(b):
-                t[i + 1][j + 1] = t[i][j] + 1 if p == q else max(t[i][j + 1], t[i + 1][j])
-        return t[-1][-1]
 
+def test_common_beginnings_equal_brute_force():
+    r = random.Random(13)
+    jobs = []
     for _ in range(200):
-        a = [r.randrange(4) for _ in range(r.randrange(12))]
-        b = [r.randrange(4) for _ in range(r.randrange(12))]
-        assert substrings.common_subsequence(np.array(a, int), np.array(b, int)) == brute(a, b)
+        b = random_words(r, 30, 50)
+        a = np.array([v if r.random() < 0.8 else 99 for v in b], np.uint64)
+        jobs.append((a, np.r_[b, random_words(r, 10, 50)], 0.6))
+    for (a, b, loss), (i, j) in zip(jobs, substrings.common_pairs_of(jobs, together=3000)):
+        m = min(len(a), len(b))
+        lo = next((n for n in range(m) if a[n] != b[n]), m)            # equal beginnings come first
+        t = longest_common(a[lo:].tolist(), b[lo:].tolist())
+        best = max(v - loss * max(x, y) for x, row in enumerate(t) for y, v in enumerate(row))
+        assert (i[:lo] == np.arange(lo)).all() and in_order(a, b, i, j)
+        i, j = i[lo:] - lo, j[lo:] - lo
+        assert len(i) - loss * (max(i[-1], j[-1]) + 1 if len(i) else 0) == pytest.approx(best)
+
+
+def test_long_alignments_lose_no_common_word():
+    """A block put into one side of an alignment far over the table's limit."""
+    r = random.Random(14)
+    a = np.array([r.randrange(10**6) for _ in range(1500)], np.uint64)
+    b = a.copy()
+    b[::12] += np.uint64(10**7)
+    for block in (30, 300, 800):
+        c = np.r_[b[:600], random_words(r, 2, 1), np.arange(2 * 10**7, 2 * 10**7 + block, dtype=np.uint64), b[600:]]
+        i, j = substrings.common_pairs(a, c)
+        assert len(i) == 1375 and in_order(a, c, i, j)
+
+
+def test_words_in_common_bound_the_alignment():
+    r = random.Random(15)
+    sides = [random_words(r, 25, 6) for _ in range(120)]
+    first = np.r_[0, np.cumsum([len(s) for s in sides])]
+    rows = np.array([i for i in range(0, 119, 2) if i % 3])
+    got = substrings._common(np.concatenate(sides), first, rows)
+    for i, n in zip(rows, got):
+        one, two = (collections.Counter(sides[k].tolist()) for k in (i, i + 1))
+        assert n == sum((one & two).values()) >= longest_common(sides[i], sides[i + 1])[-1][-1]
+
+
+def test_chains_over_several_slices_and_repeated_rows():
+    """Sides of one chain that come in different batches, and repeated ones."""
+    r = random.Random(16)
+    rows = []
+    for n in range(12):
+        text = prose(r, 60, 10**6)
+        one, two = f"{prose(r, 10, 10**6)} {text}", f"{text} {prose(r, 5, 10**6)}"
+        for side, piece in ((0, one), (1, two)):
+            for _ in range(1 + n % 3):
+                rows.append({"doc_id": 2 * n, "version": n, "partner_id": 2 * n + 1, "partner_version": -n, "x0": 12,
+                             "y0": 2, "side": side, "at": [12 if side == 0 else 2], "piece": piece})
+    kinds = pa.schema([(c, pa.int64()) for c in [*substrings.PAIR, "x0", "y0", "side"]]
+                      + [("at", pa.list_(pa.int32())), ("piece", pa.string())])
+    table = pa.Table.from_pylist(rows, schema=kinds)
+    for size in (1, 2, 5, 1000):
+        got = pa.Table.from_batches(list(substrings._compare(
+            iter(table.to_batches(size)), [*substrings.PAIR, "x0", "y0"], 6, 96, 50, 0.8))).to_pylist()
+        assert sorted((x["doc_id"], x["start_word"], x["end_word"], x["partner_start"], x["n_equal"]) for x in got) == \
+            [(2 * n, 10, 70, 0, 60) for n in range(12)]
 
 
 def test_passages_are_found_and_clean_documents_left_alone(spark):
