@@ -211,3 +211,51 @@ def winnow(g: np.ndarray, doc: np.ndarray, w: int) -> np.ndarray:
     for a, s in zip(heads[sizes < w], sizes[sizes < w]):
         picked[a + s - 1 - g[a:a + s][::-1].argmin()] = True
     return np.flatnonzero(picked)
+
+
+def winnow_wide(g: np.ndarray, doc: np.ndarray, w: int) -> np.ndarray:
+    """The same as ``winnow``, by doubling: the smallest of a window of 2n comes
+    from those of two windows of n, so the work grows with the logarithm of w."""
+    n = len(g)
+    m = n - w + 1
+    picked = np.zeros(n, bool)
+    for lo in range(0, max(m, 0), 1 << 16):
+        hi = min(m, lo + (1 << 16))
+        value, at, size = g[lo:hi + w - 1], np.arange(lo, hi + w - 1), 1
+        while size < w:
+            step = min(size, w - size)
+            right = value[step:] <= value[:-step]
+            value = np.where(right, value[step:], value[:-step])
+            at = np.where(right, at[step:], at[:-step])
+            size += step
+        picked[at[doc[lo:hi] == doc[lo + w - 1:hi + w - 1]]] = True
+    heads = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if n else np.zeros(0, np.int64)
+    sizes = np.diff(np.r_[heads, n])
+    for a, s in zip(heads[sizes < w], sizes[sizes < w]):
+        picked[a + s - 1 - g[a:a + s][::-1].argmin()] = True
+    return np.flatnonzero(picked)
+
+
+def kgrams_wide(h: np.ndarray, first: np.ndarray, k: int):
+    """The same as ``kgrams``, by doubling: the hash of a + b words comes from
+    those of a words and of the b words after them."""
+    n = len(h)
+    if n < k:
+        return kgrams(h, first, k)
+    base, m = 0xD6E8FEB86659FD93, n - k + 1
+    g, size, part, width = None, 0, h, 1
+    with np.errstate(over="ignore"):
+        while True:
+            if k & width:
+                # the runs taken so far come after those of this width
+                g = part if g is None else part[:n - size - width + 1] * np.uint64(pow(base, size, 1 << 64)) \
+                    + g[width:n - size + 1]
+                size += width
+            if size == k:
+                break
+            end = n - 2 * width + 1
+            part = part[:end] * np.uint64(pow(base, width, 1 << 64)) + part[width:end + width]
+            width *= 2
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    ok = np.flatnonzero(doc[:m] == doc[k - 1:])
+    return mix(g[ok]), ok, doc[ok]

@@ -338,10 +338,19 @@ def test_words_in_common_bound_the_alignment():
     sides = [random_words(r, 25, 6) for _ in range(120)]
     first = np.r_[0, np.cumsum([len(s) for s in sides])]
     rows = np.array([i for i in range(0, 119, 2) if i % 3])
-    got = substrings._common(np.concatenate(sides), first, rows)
+    words = substrings.W.mix(np.concatenate(sides))
+    got, shared = substrings._common(words, first, rows)
     for i, n in zip(rows, got):
         one, two = (collections.Counter(sides[k].tolist()) for k in (i, i + 1))
         assert n == sum((one & two).values()) >= longest_common(sides[i], sides[i + 1])[-1][-1]
+        assert shared[first[i]:first[i + 1]].tolist() == [v in two for v in sides[i].tolist()]
+    for least, share in ((1, 1.0), (3, 0.8), (10, 0.5), (30, 0.1)):
+        want = []
+        for i in rows:
+            v = np.r_[0, np.cumsum(shared[first[i]:first[i + 1]])]
+            want.append(any(v[e] - v[s] >= share * (e - s) - 1e-9 for s in range(len(v))
+                            for e in range(s + least, len(v))))
+        assert substrings._dense(shared, first, rows, least, share).tolist() == want
 
 
 def test_chains_over_several_slices_and_repeated_rows():

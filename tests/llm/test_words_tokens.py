@@ -116,3 +116,25 @@ def test_random_strings_equal_the_library():
     got = [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])]
     assert [(s, g, w) for s, g, w in zip(strings, got, want) if g != w] == []
     assert enc.lengths(strings).tolist() == [len(w) for w in want]
+
+
+@pytest.mark.parametrize("w", [1, 2, 3, 10, 33, 45])
+def test_winnowing_by_doubling_equals_winnowing(w):
+    rng = np.random.default_rng(w)
+    for kinds in (1, 2, 5, 10**9):
+        sizes = rng.integers(0, 120, 40)
+        doc = np.repeat(np.arange(40), sizes)
+        g = rng.integers(0, kinds, len(doc)).astype(np.uint64)
+        assert W.winnow_wide(g, doc, w).tolist() == W.winnow(g, doc, w).tolist()
+    none = np.zeros(0, np.int64)
+    assert len(W.winnow_wide(none.astype(np.uint64), none, w)) == 0
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 6, 7, 13, 32, 50])
+def test_runs_by_doubling_equal_runs(k):
+    rng = np.random.default_rng(k)
+    for n in (0, 1, k - 1, k, k + 1, 3 * k + 5, 700):
+        h = rng.integers(0, 1 << 62, n).astype(np.uint64)
+        first = np.unique(np.r_[0, rng.integers(0, n + 1, 6), n])
+        for a, b in zip(W.kgrams_wide(h, first, k), W.kgrams(h, first, k)):
+            assert a.tolist() == b.tolist()
