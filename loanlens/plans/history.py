@@ -7,6 +7,8 @@ lineitem monthly statuses, events the balance rows that arrive as files.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -147,11 +149,13 @@ def q_stream_rollup(spark, d):
     # dealt by a hash, so every file holds rows of the whole period
     events.repartition(6, F.xxhash64("event_id")).write.parquet(src)
     stream = SR.read_files(spark, src, events.schema, max_files_per_trigger=2)
-    q = SR.start(SR.parts(stream, EVENT_ROLLUP, "60 days"), out, mark)
+    users = events.agg(F.approx_count_distinct("user_id")).first()[0]
+    spec = replace(EVENT_ROLLUP, buckets=SR.buckets_for(users, EVENT_ROLLUP.salts))
+    q = SR.start(SR.parts(stream, spec, "60 days"), out, mark)
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-    rows = SR.current(spark.read.parquet(out), EVENT_ROLLUP)
+    rows = SR.current(spark.read.parquet(out), spec)
     return rnd(rows.withColumn("key", F.col("key").cast("long")).withColumnRenamed("key", "user_id"), ["value_mean"])
 
 

@@ -6,8 +6,10 @@ counts for means, the different values for distinct counts, counts per label
 for a mode. After every micro-batch it appends the new parts of the applicants
 it touched; :func:`current` takes the newest parts of each and merges them into
 one row per applicant. The salt (a hash of the row's own id) spreads an
-applicant with a third of all rows over ``salts`` states, and each state is
-updated from Arrow batches, never from a collected group.
+applicant with a third of all rows over ``salts`` parts. A state holds the parts of a
+bucket of (applicant, salt) pairs, by hash, and is updated from Arrow batches
+for all of them at once, never from a collected group: a call of Python for
+every applicant and salt would cost more than its few rows.
 
 Event time: rows older than the watermark when they arrive are *late*. They do
 not enter the roll-up; they are counted (``n_late``). Without late rows the
@@ -18,7 +20,9 @@ micro-batch that is run again writes the same parts under the same version, and
 :func:`current` takes one of them.
 
 The state of an applicant grows with its different values of the ``distinct``
-columns and labels of the ``modes`` columns only.
+columns and labels of the ``modes`` columns only. A micro-batch reads and writes
+the states of the buckets it touches: take ``buckets`` in proportion to the
+applicants (:func:`buckets_for`); it stays the same for a checkpoint folder.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +53,12 @@ class StreamRollup:
     distinct: tuple[str, ...] = ()
     modes: tuple[str, ...] = ()
     salts: int = 8
+    buckets: int = 32
+
+
+def buckets_for(keys: int, salts: int, each: int = 8192) -> int:
+    """Buckets with about ``each`` (key, salt) pairs, 32 at least."""
+    return max(32, -(-keys * salts // each))
 
 
 def read_files(spark: SparkSession, path: str, schema, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -60,30 +71,69 @@ def read_files(spark: SparkSession, path: str, schema, max_files_per_trigger: in
 def _update(spec: StreamRollup):
     def run(key, batches, state: GroupState):
         held = json.loads(state.get[0]) if state.exists else {
-            "v": 0, "n": 0, "late": 0, "s": [0.0] * len(spec.means), "c": [0] * len(spec.means),
-            "d": [[] for _ in spec.distinct], "m": [{} for _ in spec.modes]}
-        seen = [set(x) for x in held["d"]]
+            "key": [], "salt": [], "v": [], "n": [], "late": [], "s": [[] for _ in spec.means],
+            "c": [[] for _ in spec.means], "d": [[] for _ in spec.distinct], "m": [[] for _ in spec.modes]}
+        place = {pair: i for i, pair in enumerate(zip(held["key"], held["salt"]))}
         mark = state.getCurrentWatermarkMs()
+        touched = set()
         for part in batches:
-            on_time = part["time"] >= mark
-            held["late"] += int((~on_time).sum())
-            part = part[on_time]
-            held["n"] += len(part)
+            own, pairs = pd.MultiIndex.from_frame(part[["key", "salt"]]).factorize()
+            for pair in pairs:
+                if pair not in place:
+                    place[pair] = len(place)
+                    for name, new in (("key", pair[0]), ("salt", int(pair[1])), ("v", 0), ("n", 0), ("late", 0)):
+                        held[name].append(new)
+                    for name, new in (("s", float), ("c", int), ("d", list), ("m", dict)):
+                        for column in held[name]:
+                            column.append(new())
+            where = np.array([place[pair] for pair in pairs], np.int64)[own]
+            touched.update(where.tolist())
+            on_time = (part["time"] >= mark).to_numpy()
+
+            def add(column, rows, weights=None):
+                at, own = np.unique(where[rows], return_inverse=True)
+                for i, x in zip(at.tolist(), np.bincount(own, weights).tolist()):
+                    column[i] += x
+
+            add(held["late"], ~on_time)
+            add(held["n"], on_time)
             for i in range(len(spec.means)):
-                x = part[f"x{i}"].dropna()
-                held["s"][i] += float(x.sum())
-                held["c"][i] += len(x)
+                x = part[f"x{i}"].to_numpy(dtype=float, na_value=np.nan)
+                rows = on_time & ~np.isnan(x)
+                add(held["s"][i], rows, x[rows])
+                add(held["c"][i], rows)
             for i in range(len(spec.distinct)):
-                seen[i].update(part[f"d{i}"].dropna().unique().tolist())
+                x = part[f"d{i}"]
+                rows = on_time & x.notna().to_numpy()
+                for (at, value) in set(zip(where[rows].tolist(), x[rows].tolist())):
+                    if value not in held["d"][i][at]:
+                        held["d"][i][at].append(value)
             for i in range(len(spec.modes)):
-                for label, n in part[f"m{i}"].value_counts().items():
-                    held["m"][i][label] = held["m"][i].get(label, 0) + int(n)
-        held["d"] = [sorted(x) for x in seen]
-        held["v"] += 1
+                x = part[f"m{i}"]
+                rows = on_time & x.notna().to_numpy()
+                labels, names = pd.factorize(x[rows])
+                codes, n = np.unique(where[rows] * max(len(names), 1) + labels, return_counts=True)
+                for code, more in zip(codes.tolist(), n.tolist()):
+                    own_labels, label = held["m"][i][code // len(names)], names[code % len(names)]
+                    own_labels[label] = own_labels.get(label, 0) + more
+        touched = sorted(touched)
+        for at in touched:
+            held["v"][at] += 1
+            for values in held["d"]:
+                values[at].sort()
         state.update((json.dumps(held),))
-        yield pd.DataFrame({"key": [key[0]], "salt": [key[1]], "version": [held["v"]], "n_rows": [held["n"]],
-                            "n_late": [held["late"]], "sums": [held["s"]], "counts": [held["c"]],
-                            "seen": [held["d"]], "labels": [held["m"]]})
+        for lo in range(0, len(touched), 5000):
+            some = touched[lo:lo + 5000]
+
+            def rows(column):
+                return [column[at] for at in some]
+
+            def nested(columns):
+                return [[column[at] for column in columns] for at in some]
+
+            yield pd.DataFrame({"key": rows(held["key"]), "salt": rows(held["salt"]), "version": rows(held["v"]),
+                                "n_rows": rows(held["n"]), "n_late": rows(held["late"]), "sums": nested(held["s"]),
+                                "counts": nested(held["c"]), "seen": nested(held["d"]), "labels": nested(held["m"])})
 
     return run
 
@@ -100,7 +150,8 @@ def parts(stream: DataFrame, spec: StreamRollup, delay: str) -> DataFrame:
                     *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(spec.means)],
                     *[F.col(c).cast("string").alias(f"d{i}") for i, c in enumerate(spec.distinct)],
                     *[F.col(c).cast("string").alias(f"m{i}") for i, c in enumerate(spec.modes)]))
-    return rows.groupBy("key", "salt").applyInPandasWithState(
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key", "salt"), F.lit(spec.buckets)).cast("int"))
+    return rows.groupBy("bucket").applyInPandasWithState(
         _update(spec), PARTS, "state string", "append", GroupStateTimeout.NoTimeout)
 
 

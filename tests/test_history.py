@@ -206,6 +206,23 @@ def test_stream_equals_batch_in_shuffled_files_and_after_a_restart(spark, tmp_pa
     assert got == batch_rollup(rows) and late == 0
 
 
+def test_one_state_holds_many_applicants(spark, tmp_path):
+    r = random.Random(11)
+    rows = [(i, r.randrange(400), T0 + dt.timedelta(hours=r.randrange(200)), r.choice([None, 1.5, 2.0, 7.25]),
+             r.choice([None, 10, 11, 12]), r.choice([None, "a", "b", "b", "c"])) for i in range(1500)]
+    src, out, mark = (str(tmp_path / n) for n in ("src", "out", "mark"))
+    for n in range(3):
+        spark.createDataFrame(rows[n::3], SCHEMA).coalesce(1).write.parquet(f"{src}/part={n}")
+    got, late = run_stream(spark, src + "/*", out, mark, "30 days")
+    assert got == batch_rollup(rows) and late == 0
+    written = spark.read.parquet(out)
+    assert written.groupBy("key", "salt", "version").count().filter("count > 1").isEmpty()
+    # calls of Python: one per bucket and micro-batch, not one per applicant and salt
+    states = spark.read.format("statestore").load(mark)
+    assert written.select("key", "salt").distinct().count() > 800 and states.count() <= SPEC.buckets
+    assert [SR.buckets_for(n, 8) for n in (0, 1000, 10 ** 6)] == [32, 32, 977]
+
+
 def test_late_rows_are_counted_and_left_out(spark, tmp_path):
     r = random.Random(10)
     rows = sorted(balance_rows(r, 120, 30), key=lambda x: x[2])
