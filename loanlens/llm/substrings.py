@@ -6,7 +6,9 @@
    occurs in more than one class is matched with the seed's lowest class (by
    text hash), never with all of them; matches of copies fall together before
    they are chained. So matches grow with the occurrences, whatever the size
-   of the group, and a hot seed is a join key that Spark can split.
+   of the group, and a hot seed is a join key that Spark can split. Where one
+   word is repeated, its seed stands at consecutive places: of such a run the
+   ends are matched (``anchors``), not every place.
 3. Chains: the matches of a document with one partner are chained in order of
    both positions. The best chain that ends in each match is found with a
    Fenwick tree of prefix maxima over partner positions; a gap costs ``gap``
@@ -25,9 +27,14 @@
    class that has them, and neighbouring ones merged. So every exact repeat of
    ``min_words`` words between different texts is found in 4 or here; of these
    windows only the seeds of a wider winnow are needed (``sparse``).
+6. The rest, edited: the seeds of chains that lie in no passage are matched once
+   more by pairs of them (one and either of the next two, at most ``min_words``
+   words apart), with the lowest class that has the pair, and 3 and 4 done again. So an edited passage is
+   found also where a lower text has each of its seeds, but not two together.
 
 Fuzzy passages need one seed in common, so one whose words are edited every k
-words or closer is missed, and one that all its seeds share with lower classes.
+words or closer is missed, and one of whose seeds every pair stands in lower
+texts too, or that has one only and a lower text has it.
 
 Result: one row per passage and partner: doc_id, start_word, end_word,
 partner_id, partner_start, partner_end, n_equal, identity. Passages are given
@@ -43,6 +50,8 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -60,14 +69,18 @@ def text_words(data, offsets):
 
 def seeds(docs: DataFrame, k: int, w: int, reach: int, min_words: int, id_col: str = "doc_id",
           text_col: str = "text") -> DataFrame:
-    """(seed, version, doc_id, pos, lo, hi, sparse) of every winnowed k-gram: lo
-    and hi are the bytes where the ``reach`` words before it start and those
-    after it end; sparse ones are among those that every run of ``min_words``
-    words has one of. One row more per document has pos -1 and its words in hi."""
+    """(seed, version, doc_id, pos, lo, hi, sparse, run, los) of every winnowed
+    k-gram: lo and hi are the bytes where the ``reach`` words before it start and
+    those after it end; sparse ones are among those that every run of
+    ``min_words`` words has one of. Where one seed stands at consecutive places (one
+    word again and again), the first of them has their number in ``run`` and the
+    others 0; its hi is that of the last, and los has the lo of every
+    ``min_words``-th of them and of the last. One row more per document has pos -1
+    and its words in hi."""
     frame = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("version"),
                         F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
 
-    def run(batches):
+    def rows_of(batches):
         for b in batches:
             for rows, data, offsets in W.slices(b):
                 raw = W.lower_table()[data]
@@ -77,21 +90,40 @@ def seeds(docs: DataFrame, k: int, w: int, reach: int, min_words: int, id_col: s
                 keep = W.winnow_wide(g, doc, w)
                 # the smallest of a wider window is the smallest of a narrower one too
                 sparse = np.isin(keep, W.winnow_wide(g, doc, min_words - k + 1))
-                at, doc = at[keep], doc[keep]
-                lo = starts[np.maximum(at - reach, first[doc])] - offsets[doc]
-                hi = ends[np.minimum(at + k + reach, first[doc + 1]) - 1] - offsets[doc]
+                g, at, doc = g[keep], at[keep], doc[keep]
+                heads = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (doc[1:] != doc[:-1]) | (np.diff(at) != 1)][:len(g)])
+                size = np.diff(np.r_[heads, len(g)])
+                run, last = np.zeros(len(g), np.int32), np.arange(len(g))
+                run[heads], last[heads] = size, heads + size - 1
+
+                def before(place, text):
+                    return starts[np.maximum(place - reach, first[text])] - offsets[text]
+
+                lo = before(at, doc)
+                hi = ends[np.minimum(at[last] + k + reach, first[doc + 1]) - 1] - offsets[doc]
                 n = len(offsets) - 1
                 own = np.r_[np.arange(n), doc]
                 take = pa.array(own)
+                # lo of the places 0, min_words, ... of a run and of its last
+                many = np.zeros(n + len(g), np.int64)
+                many[n + heads] = np.where(size > 1, -(-size // min_words) + 1, 0)
+                cuts = np.r_[0, np.cumsum(many)]
+                row = np.repeat(np.arange(len(many)), many) - n
+                step = (np.arange(cuts[-1]) - cuts[row + n]) * min_words
+                inner = at[row] + np.minimum(step, run[row] - 1)
+                los = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)),
+                                               pa.array(before(inner, doc[row]).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.r_[np.zeros(n, np.int64), g[keep].view(np.int64)]),
+                    [pa.array(np.r_[np.zeros(n, np.int64), g.view(np.int64)]),
                      rows.column("version").take(take), rows.column("doc_id").take(take),
                      pa.array(np.r_[np.full(n, -1), at - first[doc]].astype(np.int32)),
                      pa.array(np.r_[np.zeros(n, np.int64), lo].astype(np.int32)),
-                     pa.array(np.r_[np.diff(first), hi].astype(np.int32)), pa.array(np.r_[np.zeros(n, bool), sparse])],
-                    ["seed", "version", "doc_id", "pos", "lo", "hi", "sparse"])
+                     pa.array(np.r_[np.diff(first), hi].astype(np.int32)), pa.array(np.r_[np.zeros(n, bool), sparse]),
+                     pa.array(np.r_[np.zeros(n, np.int32), run]), los],
+                    ["seed", "version", "doc_id", "pos", "lo", "hi", "sparse", "run", "los"])
 
-    return frame.mapInArrow(run, "seed bigint, version bigint, doc_id bigint, pos int, lo int, hi int, sparse boolean")
+    return frame.mapInArrow(rows_of, "seed bigint, version bigint, doc_id bigint, pos int, lo int, hi int, "
+                                     "sparse boolean, run int, los array<int>")
 
 
 def lowest(found: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -106,16 +138,41 @@ def lowest(found: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return found.join(ends.hint("merge"), key).filter("version != p_version")
 
 
-def matches(found: DataFrame) -> DataFrame:
+PLACE = ["version", "doc_id", "pos", "lo", "hi", "run", "los"]
+
+
+def anchors(met: DataFrame, min_words: int) -> DataFrame:
     """(doc_id, version, partner_id, partner_version, x, x_lo, x_hi, y, y_lo,
-    y_hi): every occurrence of a shared seed with its first occurrence in the
-    lowest class that has the seed; copies once."""
-    met = lowest(found.filter("pos >= 0"), "seed", ["version", "doc_id", "pos", "lo", "hi"])
-    return (met.groupBy("version", F.col("p_version").alias("partner_version"), F.col("pos").alias("x"),
-                        F.col("p_pos").alias("y"))
-            .agg(F.min("doc_id").alias("doc_id"), F.min("p_doc_id").alias("partner_id"),
-                 F.min("lo").alias("x_lo"), F.max("hi").alias("x_hi"),
-                 F.min("p_lo").alias("y_lo"), F.max("p_hi").alias("y_hi")))
+    y_hi, ahead) of pairs of runs of places (fields of PLACE, the partner's with
+    the prefix p_): their first places and, where their lengths differ, their last
+    ones; along a run longer than the partner's also every ``min_words``-th with
+    the partner's first. ``ahead`` is how many places after x one stands for.
+    Copies once."""
+    def last(c):
+        return f"coalesce(try_element_at({c}los, -1), {c}lo)"
+
+    pairs = F.expr(f"""
+        case when run = p_run then array(struct(pos as x, p_pos as y, run - 1 as ahead, lo as x_lo, p_lo as y_lo))
+        else concat(
+            case when run > p_run then transform(slice(los, 1, size(los) - 1), (v, i) -> struct(
+                pos + {min_words} * i as x, p_pos as y, least({min_words} - 1, run - 1 - {min_words} * i) as ahead,
+                v as x_lo, p_lo as y_lo))
+            else array(struct(pos as x, p_pos as y, run - 1 as ahead, lo as x_lo, p_lo as y_lo)) end,
+            array(struct(pos + run - 1 as x, p_pos + p_run - 1 as y, 0 as ahead, {last("")} as x_lo,
+                         {last("p_")} as y_lo))) end""")
+    return (met.select("doc_id", "version", F.col("p_doc_id").alias("partner_id"),
+                       F.col("p_version").alias("partner_version"), F.col("hi").alias("x_hi"),
+                       F.col("p_hi").alias("y_hi"), F.explode(pairs).alias("a"))
+            .groupBy("version", "partner_version", F.col("a.x").alias("x"), F.col("a.y").alias("y"))
+            .agg(F.min("doc_id").alias("doc_id"), F.min("partner_id").alias("partner_id"),
+                 F.min("a.x_lo").alias("x_lo"), F.max("x_hi").alias("x_hi"),
+                 F.min("a.y_lo").alias("y_lo"), F.max("y_hi").alias("y_hi"), F.max("a.ahead").alias("ahead")))
+
+
+def matches(found: DataFrame, min_words: int) -> DataFrame:
+    """Anchors of every run of places of a shared seed with its first run in the
+    lowest class that has the seed."""
+    return anchors(lowest(found.filter("run > 0").select("seed", *PLACE), "seed", PLACE), min_words)
 
 
 def chain(x: np.ndarray, y: np.ndarray, k: int, gap: float) -> list[np.ndarray]:
@@ -189,16 +246,16 @@ PAIR = ["doc_id", "version", "partner_id", "partner_version"]
 
 
 def chains(met: DataFrame, k: int, gap: float) -> DataFrame:
-    """One row per chain: the pair, its matches (xs, ys) and the bytes
+    """One row per chain: the pair, its matches (xs, ys, aheads) and the bytes
     around them (x_lo, x_hi, y_lo, y_hi)."""
     dealt = met.repartition("version", "partner_version").sortWithinPartitions("version", "partner_version", "x", "y")
     spans = ["x_lo", "x_hi", "y_lo", "y_hi"]
 
     def run(batches):
-        rows = {c: [] for c in [*PAIR, "xs", "ys", *spans]}
+        rows = {c: [] for c in [*PAIR, "xs", "ys", "aheads", *spans]}
 
         def flush():
-            kinds = [pa.int64()] * 4 + [pa.list_(pa.int32())] * 2 + [pa.int32()] * 4
+            kinds = [pa.int64()] * 4 + [pa.list_(pa.int32())] * 3 + [pa.int32()] * 4
             out = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), kinds)], list(rows))
             for v in rows.values():
                 v.clear()
@@ -211,6 +268,7 @@ def chains(met: DataFrame, k: int, gap: float) -> DataFrame:
                     rows[c].append(int(g[c][0]))
                 rows["xs"].append(x[path])
                 rows["ys"].append(y[path])
+                rows["aheads"].append(g["ahead"][path])
                 for c, i in zip(spans, (path[0], path[-1], path[0], path[-1])):
                     rows[c].append(int(g[c][i]))
             if len(rows["xs"]) >= 5000:
@@ -218,7 +276,7 @@ def chains(met: DataFrame, k: int, gap: float) -> DataFrame:
         if rows["xs"]:
             yield flush()
 
-    schema = ", ".join([f"{c} bigint" for c in PAIR] + ["xs array<int>, ys array<int>"] + [f"{c} int" for c in spans])
+    schema = ", ".join([f"{c} bigint" for c in PAIR] + ["xs array<int>, ys array<int>, aheads array<int>"] + [f"{c} int" for c in spans])
     return dealt.mapInArrow(run, schema)
 
 
@@ -419,15 +477,29 @@ def parts(p: np.ndarray, q: np.ndarray, min_words: int, identity: float) -> list
     return out
 
 
+def stretch(a: np.ndarray, p: np.ndarray, min_words: int) -> np.ndarray:
+    """``p``, the aligned places of ``a``: where they lie a little too close for a
+    passage and the outer word is repeated outside, its place is one of those (of
+    a run of places only the ends are matched, so others are found so)."""
+    g = min_words - (int(p[-1]) - int(p[0]) + 1)
+    s, e = int(p[0]), int(p[-1])
+    if g > 0 and s >= g and (a[s - g:s] == a[s]).all():
+        return np.r_[s - g, p[1:]]
+    if g > 0 and e + g < len(a) and (a[e:e + g + 1] == a[e]).all():
+        return np.r_[p[:-1], e + g]
+    return p
+
+
 RESULT = ["doc_id", "start_word", "end_word", "partner_id", "partner_start", "partner_end", "n_equal", "identity"]
 KINDS = {c: "double" if c == "identity" else "bigint" for c in RESULT}
 
 
 def _pairs(batches, key):
     """For every slice of pieces sorted by chain and side: the chains (key
-    columns), their words and places. (keys, h, first, at, at_first, rows): the
-    sides of a chain are the rows i and i + 1, i in ``rows``. A chain's rows may
-    be repeated (equal rows of documents); they are equal then."""
+    columns), their words, places and how many more they stand for. (keys, h,
+    first, at, at_first, ahead, rows): the sides of a chain are the rows i and
+    i + 1, i in ``rows``. A chain's rows may be repeated (equal rows of documents);
+    they are equal then."""
     held = None
     for b in batches:
         for rows, data, offsets in W.slices(b, column="piece"):
@@ -435,14 +507,16 @@ def _pairs(batches, key):
             keys = np.array([rows.column(c).to_numpy() for c in [*key, "side"]])
             places = rows.column("at")
             at, at_first = places.flatten().to_numpy(), np.r_[0, np.cumsum(places.value_lengths().to_numpy())]
+            ahead = rows.column("ahead").flatten().to_numpy() if "ahead" in rows.schema.names else np.zeros_like(at)
             if held is not None:
                 keys = np.concatenate([held[0], keys], axis=1)
                 h, first = np.r_[held[1], h], np.r_[0, first + len(held[1])]
                 at, at_first = np.r_[held[2], at], np.r_[0, at_first + len(held[2])]
+                ahead = np.r_[held[3], ahead]
             same = (keys[:-1, 1:] == keys[:-1, :-1]).all(axis=0) & (keys[-1, :-1] == 0) & (keys[-1, 1:] == 1)
             # a chain's other side may come with the next slice
-            held = (keys[:, -1:].copy(), h[first[-2]:].copy(), at[at_first[-2]:].copy())
-            yield keys, h, first, at, at_first, np.flatnonzero(same)
+            held = (keys[:, -1:].copy(), h[first[-2]:].copy(), at[at_first[-2]:].copy(), ahead[at_first[-2]:].copy())
+            yield keys, h, first, at, at_first, ahead, np.flatnonzero(same)
 
 
 def _common(h: np.ndarray, first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -508,7 +582,7 @@ def _compare(batches, key, k, reach, min_words, identity):
     the other side, are not aligned."""
     kinds = [pa.float64() if c == "identity" else pa.int64() for c in RESULT]
     need = int(np.ceil(identity * min_words - 1e-9))
-    for keys, h, first, at, at_first, rows in _pairs(batches, key):
+    for keys, h, first, at, at_first, ahead, rows in _pairs(batches, key):
         common, shared = _common(h, first, rows)
         possible = common >= need
         for side, least in ((0, min_words), (1, need)):
@@ -524,11 +598,13 @@ def _compare(batches, key, k, reach, min_words, identity):
         for i in rows[~possible].tolist():
             places = at[at_first[i]:at_first[i + 1]]
             rest.append(places - max(0, int(places[0]) - reach) + first[i])
-        for (_, _, xs, _, i, (base_a, base_b)), (p, q) in zip(items, align([t[:4] for t in items], k)):
+        for (words, _, xs, _, i, (base_a, base_b)), (p, q) in zip(items, align([t[:4] for t in items], k)):
+            if len(p) >= need:
+                p = stretch(words, p, min_words)
             alone = np.ones(len(xs), bool)
             for lo, hi in parts(p, q, min_words, identity):
                 s, e, t, f = int(p[lo]), int(p[hi - 1]) + 1, int(q[lo]), int(q[hi - 1]) + 1
-                alone &= (xs < s) | (xs + k > e)
+                alone &= (xs < s) | (xs + ahead[at_first[i]:at_first[i + 1]] + k > e)
                 for n, v in zip(out, (int(keys[0, i]), s + base_a, e + base_a, int(keys[2, i]), t + base_b,
                                       f + base_b, hi - lo, (hi - lo) / max(e - s, f - t))):
                     out[n].append(v)
@@ -557,12 +633,51 @@ def _cut(docs: DataFrame, requests: DataFrame, id_col: str, text_col: str) -> Da
             .select(*[c for c in requests.columns if c not in ("__id", "__version", "lo", "hi")], piece.alias("piece")))
 
 
+def _by_pairs(found: DataFrame, left: DataFrame, min_words: int) -> DataFrame:
+    """Anchors of the places of the seeds ``left``, matched once more: by pairs of
+    one and either of the next two, at most ``min_words`` words apart, each with
+    the lowest class that has both. Where every seed of an edited passage stands in a lower text too, those
+    texts seldom have two of them together."""
+    # the lowest class was compared with all others: seeds of three texts at least
+    wanted = materialize(found.filter("run > 0").select("seed", "version")
+                         .join(left.hint("merge"), "seed").distinct()
+                         .groupBy("seed").agg(F.count("*").alias("texts")).filter("texts > 2").select("seed"))
+    places = (found.filter("run > 0").select("seed", *PLACE).join(wanted.hint("merge"), "seed")
+              .groupBy("version", "pos").agg(F.min(F.struct("doc_id", "lo", "hi", "run", "los", "seed")).alias("p"))
+              .select("version", "pos", "p.*"))
+    after = Window.partitionBy("version").orderBy("pos")
+    # each with the next and the one after it: at most four rows a place
+    near = materialize(places.withColumn("place", F.struct(*PLACE)).select("seed", "place", *[
+        F.lead(F.struct("seed", "place"), n).over(after).alias(f"next{n}") for n in (1, 2)]))
+    both = reduce(DataFrame.unionByName, [
+        near.filter(f"{n}.place.pos - place.pos <= {min_words}")
+        .select(F.xxhash64("seed", f"{n}.seed", F.lit(i)).alias("pair"), F.col(c).alias("place")).select("pair", "place.*")
+        for n in ("next1", "next2") for i, c in enumerate(("place", f"{n}.place"))])
+    return anchors(lowest(materialize(both), "pair", PLACE), min_words)
+
+
+def _aligned(met: DataFrame, docs: DataFrame, k: int, gap: float, reach: int, min_words: int, identity: float,
+             id_col: str, text_col: str) -> DataFrame:
+    """``_compare`` of the chains of the matches ``met``."""
+    linked = materialize(chains(met, k, gap))
+    key = [*PAIR, "x0", "y0"]
+    sides = (linked.withColumns({"x0": F.col("xs")[0], "y0": F.col("ys")[0]})
+             .select(*key, F.col("aheads").alias("ahead"), F.explode(F.array(*[
+                 F.struct(F.lit(i).alias("side"), F.col(d).alias("__id"), F.col(v).alias("__version"),
+                          F.col(f"{c}_lo").alias("lo"), F.col(f"{c}_hi").alias("hi"), F.col(f"{c}s").alias("at"))
+                 for i, (d, v, c) in enumerate(((PAIR[0], PAIR[1], "x"), (PAIR[2], PAIR[3], "y")))])).alias("r"))
+             .select(*key, "ahead", "r.*"))
+    dealt = _cut(docs, sides, id_col, text_col).repartition(*key).sortWithinPartitions(*key, "side")
+    return materialize(dealt.mapInArrow(
+        lambda it: _compare(it, key, k, reach, min_words, identity),
+        ", ".join(f"{c} {t}" for c, t in KINDS.items()) + ", seed bigint"))
+
+
 def _exact_rest(docs: DataFrame, found: DataFrame, left: DataFrame, k: int, reach: int, min_words: int,
                 id_col: str, text_col: str) -> DataFrame:
     """Exact repeats around all occurrences of the seeds ``left``."""
     span = min_words - k                             # a window starts at most so many words before the seed
     # written and joined by sorting, as in ``lowest``: a seed may be in most texts
-    left = materialize(left)
     places = (found.filter("sparse").join(left.hint("merge"), "seed")
               .groupBy("version", "pos").agg(F.min("doc_id").alias("doc_id"), F.min("lo").alias("lo"),
                                              F.max("hi").alias("hi")))
@@ -605,22 +720,14 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, identity: float = 0.
     if k + w - 1 > min_words or reach < min_words:
         raise ValueError("k + w - 1 must not exceed min_words, nor min_words reach, or passages could be missed")
     found = materialize(seeds(docs, k, w, reach, min_words, id_col, text_col))
-    linked = materialize(chains(matches(found), k, gap))
-    key = [*PAIR, "x0", "y0"]
-    sides = (linked.withColumns({"x0": F.col("xs")[0], "y0": F.col("ys")[0]})
-             .select(*key, F.explode(F.array(*[
-                 F.struct(F.lit(i).alias("side"), F.col(d).alias("__id"), F.col(v).alias("__version"),
-                          F.col(f"{c}_lo").alias("lo"), F.col(f"{c}_hi").alias("hi"), F.col(f"{c}s").alias("at"))
-                 for i, (d, v, c) in enumerate(((PAIR[0], PAIR[1], "x"), (PAIR[2], PAIR[3], "y")))])).alias("r"))
-             .select(*key, "r.*"))
-    dealt = _cut(docs, sides, id_col, text_col).repartition(*key).sortWithinPartitions(*key, "side")
-    aligned = materialize(dealt.mapInArrow(
-        lambda it: _compare(it, key, k, reach, min_words, identity),
-        ", ".join(f"{c} {t}" for c, t in KINDS.items()) + ", seed bigint"))
+    how = (docs, k, gap, reach, min_words, identity, id_col, text_col)
+    aligned = _aligned(matches(found, min_words), *how)
+    passages = aligned.filter("seed is null")
+    left = materialize(aligned.filter("seed is not null").select("seed").distinct())
+    others = _aligned(_by_pairs(found, left, min_words), *how).filter("seed is null")
     # two chains of one pair may grow to the same passage
-    passages = aligned.filter("seed is null").select(*RESULT).distinct()
-    rest = _exact_rest(docs, found, aligned.filter("seed is not null").select("seed").distinct(), k, reach,
-                       min_words, id_col, text_col)
+    passages = passages.select(*RESULT).unionByName(others.select(*RESULT)).distinct()
+    rest = _exact_rest(docs, found, left, k, reach, min_words, id_col, text_col)
     # copies: one row each, with the document that stands for their class
     whole = found.filter(F.col("pos") == -1)
     first = whole.groupBy("version").agg(F.min("doc_id").alias("partner_id"), F.max("doc_id").alias("last")) \

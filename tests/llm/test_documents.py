@@ -464,3 +464,47 @@ def test_passages_on_one_chain_are_told_apart(spark):
     assert len({tuple(x) for x in got}) == len(got)
     p = np.r_[0:60, 160:220, 400:430]
     assert substrings.parts(p, p, 50, 0.8) == [(0, 60), (60, 120)]
+
+
+def test_edited_passages_whose_stretches_stand_in_other_texts_are_found(spark):
+    """Every seed of a passage is also in texts that have 30 words of it only."""
+    r = random.Random(21)
+    rows, need = [], set()
+    for i in range(30):
+        words, base = prose(r, 120, 10**6).split(), 100 * i
+        rows += [(base, f"{prose(r, 40, 10**6)} {' '.join(words)} {prose(r, 30, 10**6)}"),
+                 (base + 1, f"{prose(r, 30, 10**6)} {edited(words, 12, f'e{i}x')} {prose(r, 40, 10**6)}")]
+        need.add((base, base + 1))
+        for s in range(4):
+            rows += [(base + 10 + 5 * s + j, f"{prose(r, 50, 10**6)} {' '.join(words[30 * s:30 * s + 30])} "
+                                             f"{prose(r, 50, 10**6)}") for j in range(5)]
+    got = substrings.repeated_passages(frame(spark, rows)).collect()
+    assert {(min(x.doc_id, x.partner_id), max(x.doc_id, x.partner_id)) for x in got} == need
+
+
+def test_one_word_again_and_again_is_matched_by_its_runs(spark):
+    """Runs of a word give one place for each run, and all their words are covered."""
+    r = random.Random(22)
+    rows = [(i, f"{prose(r, 30, 10**6)} {'again ' * n}{prose(r, 30, 10**6)}") for i, n in enumerate([300, 60, 300, 90, 20])]
+    places = substrings.seeds(frame(spark, rows), 6, 10, 96, 50).filter("pos >= 0").collect()
+    one = collections.Counter(x.seed for x in places).most_common(1)[0][0]
+    places = [x for x in places if x.seed == one]
+    assert collections.Counter(x.doc_id for x in places if x.run > 0) == collections.Counter(range(5))
+    for x in places:
+        if x.run > 0:
+            assert x.run == sum(y.doc_id == x.doc_id for y in places)
+            assert len(x.los) == (-(-x.run // 50) + 1 if x.run > 1 else 0)
+    met = substrings.matches(substrings.seeds(frame(spark, rows), 6, 10, 96, 50), 50)
+    assert met.count() < 30 and len(places) > 600
+    covered = collections.defaultdict(set)
+    for x in substrings.repeated_passages(frame(spark, rows)).collect():
+        covered[x.doc_id].update(range(x.start_word, x.end_word))
+        covered[x.partner_id].update(range(x.partner_start, x.partner_end))
+    texts = dict(rows)
+    assert set(covered) == {0, 1, 2, 3}
+    for i in covered:
+        assert {j for j, w in enumerate(texts[i].split()) if w == "again"} <= covered[i]
+    # 42 words in common, 50 of the longer runs
+    rows = [(i, f"{prose(r, 30, 10**6)} {'one ' * n}{'two ' * n}{prose(r, 30, 10**6)}") for i, n in enumerate([61, 21])]
+    assert len(substrings.repeated_passages(frame(spark, rows)).collect()) == len(
+        substrings.repeated_passages(frame(spark, [(-i, t) for i, t in rows])).collect())
