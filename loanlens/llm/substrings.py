@@ -28,9 +28,9 @@
    ``min_words`` words between different texts is found in 4 or here; of these
    windows only the seeds of a wider winnow are needed (``sparse``).
 6. The rest, edited: the seeds of chains that lie in no passage are matched once
-   more by pairs of them (one and either of the next two, at most ``min_words``
-   words apart), with the lowest class that has the pair, and 3 and 4 done again. So an edited passage is
-   found also where a lower text has each of its seeds, but not two together.
+   more by pairs of them, at most ``min_words`` words apart, with the lowest class that has the pair, and 3 and 4 done
+   again. So an edited passage is found also where a lower text has each of its
+   seeds, but not two together.
 
 Fuzzy passages need one seed in common, so one whose words are edited every k
 words or closer is missed, and one of whose seeds every pair stands in lower
@@ -50,8 +50,6 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -635,8 +633,8 @@ def _cut(docs: DataFrame, requests: DataFrame, id_col: str, text_col: str) -> Da
 
 def _by_pairs(found: DataFrame, left: DataFrame, min_words: int) -> DataFrame:
     """Anchors of the places of the seeds ``left``, matched once more: by pairs of
-    one and either of the next two, at most ``min_words`` words apart, each with
-    the lowest class that has both. Where every seed of an edited passage stands in a lower text too, those
+    them at most ``min_words`` words apart, each with the lowest class that has
+    both: at most ``min_words`` pairs a place. Where every seed of an edited passage stands in a lower text too, those
     texts seldom have two of them together."""
     # the lowest class was compared with all others: seeds of three texts at least
     wanted = materialize(found.filter("run > 0").select("seed", "version")
@@ -645,14 +643,12 @@ def _by_pairs(found: DataFrame, left: DataFrame, min_words: int) -> DataFrame:
     places = (found.filter("run > 0").select("seed", *PLACE).join(wanted.hint("merge"), "seed")
               .groupBy("version", "pos").agg(F.min(F.struct("doc_id", "lo", "hi", "run", "los", "seed")).alias("p"))
               .select("version", "pos", "p.*"))
-    after = Window.partitionBy("version").orderBy("pos")
-    # each with the next and the one after it: at most four rows a place
-    near = materialize(places.withColumn("place", F.struct(*PLACE)).select("seed", "place", *[
-        F.lead(F.struct("seed", "place"), n).over(after).alias(f"next{n}") for n in (1, 2)]))
-    both = reduce(DataFrame.unionByName, [
-        near.filter(f"{n}.place.pos - place.pos <= {min_words}")
-        .select(F.xxhash64("seed", f"{n}.seed", F.lit(i)).alias("pair"), F.col(c).alias("place")).select("pair", "place.*")
-        for n in ("next1", "next2") for i, c in enumerate(("place", f"{n}.place"))])
+    after = Window.partitionBy("version").orderBy(F.col("pos").cast("long")).rangeBetween(1, min_words)
+    near = places.withColumn("place", F.struct(*PLACE)).withColumn("next", F.collect_list(F.struct("seed", "place")).over(after))
+    both = (near.select("seed", "place", F.explode("next").alias("n"))
+            .select(F.explode(F.array(*[
+                F.struct(F.xxhash64("seed", "n.seed", F.lit(i)).alias("pair"), F.col(c).alias("place"))
+                for i, c in enumerate(("place", "n.place"))])).alias("r")).select("r.pair", "r.place.*"))
     return anchors(lowest(materialize(both), "pair", PLACE), min_words)
 
 
