@@ -7,8 +7,8 @@
    text hash), never with all of them; matches of copies fall together before
    they are chained. So matches grow with the occurrences, whatever the size
    of the group, and a hot seed is a join key that Spark can split. Where one
-   word is repeated, its seed stands at consecutive places: of such a run the
-   ends are matched (``anchors``), not every place.
+   to ``k`` words are repeated again and again, a seed stands at equal steps: of
+   such a run the ends are matched (``anchors``), not every place.
 3. Chains: the matches of a document with one partner are chained in order of
    both positions. The best chain that ends in each match is found with a
    Fenwick tree of prefix maxima over partner positions; a gap costs ``gap``
@@ -65,16 +65,43 @@ def text_words(data, offsets):
     return W.hash_words(raw, starts, ends), first
 
 
+def progressions(g: np.ndarray, at: np.ndarray, doc: np.ndarray, most: int):
+    """(run, step, last) of seeds ``g`` at the places ``at``, in order: where one
+    stands at three or more places of a document, each ``step`` (at most ``most``)
+    after the one before, the first of them has their number in ``run`` and the
+    index of the last in ``last``, the others have 0 in ``run``; one alone has 1."""
+    n = len(g)
+    run, step, last = np.ones(n, np.int32), np.ones(n, np.int32), np.arange(n)
+    if n < 3:                                                # gap would be too short for the masks
+        return run, step, last
+    order = np.argsort(g, kind="stable")
+    a, s, d = at[order], g[order], doc[order]
+    gap = np.diff(a)
+    near = (s[1:] == s[:-1]) & (d[1:] == d[:-1]) & (gap <= most)
+    twice = near[1:] & near[:-1] & (gap[1:] == gap[:-1])
+    before = np.r_[False, twice]
+    joined = before | np.r_[twice, False]
+    # a place where two runs meet belongs to the first
+    joined &= before | ~np.r_[False, joined[:-1]]
+    heads = np.flatnonzero(np.r_[True, ~joined])
+    size = np.diff(np.r_[heads, n])
+    own = order[heads]
+    run[:] = 0
+    run[own], last[own] = size, order[heads + size - 1]
+    step[own] = np.where(size > 1, gap[np.minimum(heads, n - 2)], 1)
+    return run, step, last
+
+
 def seeds(docs: DataFrame, k: int, w: int, reach: int, min_words: int, id_col: str = "doc_id",
           text_col: str = "text") -> DataFrame:
-    """(seed, version, doc_id, pos, lo, hi, sparse, run, los) of every winnowed
+    """(seed, version, doc_id, pos, lo, hi, sparse, run, step, los) of every winnowed
     k-gram: lo and hi are the bytes where the ``reach`` words before it start and
     those after it end; sparse ones are among those that every run of
-    ``min_words`` words has one of. Where one seed stands at consecutive places (one
-    word again and again), the first of them has their number in ``run`` and the
-    others 0; its hi is that of the last, and los has the lo of every
-    ``min_words``-th of them and of the last. One row more per document has pos -1
-    and its words in hi."""
+    ``min_words`` words has one of. Where one seed stands at equal steps of at most
+    k words (so few words again and again), the first of them has their number in
+    ``run`` and the others 0; its hi is that of the last, and los has the lo of
+    one of them in ``min_words`` words and of the last. One row more per document
+    has pos -1 and its words in hi."""
     frame = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("version"),
                         F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
 
@@ -89,10 +116,10 @@ def seeds(docs: DataFrame, k: int, w: int, reach: int, min_words: int, id_col: s
                 # the smallest of a wider window is the smallest of a narrower one too
                 sparse = np.isin(keep, W.winnow_wide(g, doc, min_words - k + 1))
                 g, at, doc = g[keep], at[keep], doc[keep]
-                heads = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (doc[1:] != doc[:-1]) | (np.diff(at) != 1)][:len(g)])
-                size = np.diff(np.r_[heads, len(g)])
-                run, last = np.zeros(len(g), np.int32), np.arange(len(g))
-                run[heads], last[heads] = size, heads + size - 1
+                run, step, last = progressions(g, at, doc, k)
+                # the first of a run stands for all of it
+                inside = np.cumsum(np.r_[0, sparse])
+                sparse |= (run > 1) & (inside[last + 1] > inside[:-1])
 
                 def before(place, text):
                     return starts[np.maximum(place - reach, first[text])] - offsets[text]
@@ -102,13 +129,13 @@ def seeds(docs: DataFrame, k: int, w: int, reach: int, min_words: int, id_col: s
                 n = len(offsets) - 1
                 own = np.r_[np.arange(n), doc]
                 take = pa.array(own)
-                # lo of the places 0, min_words, ... of a run and of its last
-                many = np.zeros(n + len(g), np.int64)
-                many[n + heads] = np.where(size > 1, -(-size // min_words) + 1, 0)
+                # lo of one place of a run in min_words words and of its last
+                each = np.maximum(min_words // step, 1)
+                many = np.r_[np.zeros(n, np.int64), np.where(run > 1, -(-run // each) + 1, 0)]
                 cuts = np.r_[0, np.cumsum(many)]
                 row = np.repeat(np.arange(len(many)), many) - n
-                step = (np.arange(cuts[-1]) - cuts[row + n]) * min_words
-                inner = at[row] + np.minimum(step, run[row] - 1)
+                nth = (np.arange(cuts[-1]) - cuts[row + n]) * each[row]
+                inner = at[row] + np.minimum(nth, run[row] - 1) * step[row]
                 los = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)),
                                                pa.array(before(inner, doc[row]).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
@@ -117,11 +144,11 @@ def seeds(docs: DataFrame, k: int, w: int, reach: int, min_words: int, id_col: s
                      pa.array(np.r_[np.full(n, -1), at - first[doc]].astype(np.int32)),
                      pa.array(np.r_[np.zeros(n, np.int64), lo].astype(np.int32)),
                      pa.array(np.r_[np.diff(first), hi].astype(np.int32)), pa.array(np.r_[np.zeros(n, bool), sparse]),
-                     pa.array(np.r_[np.zeros(n, np.int32), run]), los],
-                    ["seed", "version", "doc_id", "pos", "lo", "hi", "sparse", "run", "los"])
+                     pa.array(np.r_[np.zeros(n, np.int32), run]), pa.array(np.r_[np.ones(n, np.int32), step]), los],
+                    ["seed", "version", "doc_id", "pos", "lo", "hi", "sparse", "run", "step", "los"])
 
     return frame.mapInArrow(rows_of, "seed bigint, version bigint, doc_id bigint, pos int, lo int, hi int, "
-                                     "sparse boolean, run int, los array<int>")
+                                     "sparse boolean, run int, step int, los array<int>")
 
 
 def lowest(found: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -136,41 +163,52 @@ def lowest(found: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return found.join(ends.hint("merge"), key).filter("version != p_version")
 
 
-PLACE = ["version", "doc_id", "pos", "lo", "hi", "run", "los"]
+PLACE = ["version", "doc_id", "pos", "lo", "hi", "run", "step", "los"]
 
 
-def anchors(met: DataFrame, min_words: int) -> DataFrame:
+def anchors(met: DataFrame, min_words: int, reach: int = 96) -> DataFrame:
     """(doc_id, version, partner_id, partner_version, x, x_lo, x_hi, y, y_lo,
     y_hi, ahead) of pairs of runs of places (fields of PLACE, the partner's with
-    the prefix p_): their first places and, where their lengths differ, their last
-    ones; along a run longer than the partner's also every ``min_words``-th with
-    the partner's first. ``ahead`` is how many places after x one stands for.
-    Copies once."""
+    the prefix p_): their first places and, where they differ, their last
+    ones; along a run of more places than the partner's also one in ``min_words``
+    words with the partner's first. Of a longer run the bytes end where the other's
+    words, with as many again between them, do not reach. ``ahead`` is how many
+    words after x the places stand that it stands for. Copies once."""
     def last(c):
         return f"coalesce(try_element_at({c}los, -1), {c}lo)"
 
+    def each(c):
+        return f"int(greatest(1, {min_words} div {c}step))"
+
+    def end(c, other, i):
+        far = f"(2 * ({other}run * {other}step + 2 * {reach}) + {reach})"
+        j = f"int({i} + ceil({far} / ({each(c)} * {c}step)))"
+        return f"case when {j} + 1 < size({c}los) then try_element_at({c}los, {j} + 1) else {c}hi end"
+
     pairs = F.expr(f"""
-        case when run = p_run then array(struct(pos as x, p_pos as y, run - 1 as ahead, lo as x_lo, p_lo as y_lo))
+        case when run = p_run and (run = 1 or step = p_step) then array(struct(
+            pos as x, p_pos as y, step * (run - 1) as ahead, lo as x_lo, p_lo as y_lo, hi as x_hi, p_hi as y_hi))
         else concat(
             case when run > p_run then transform(slice(los, 1, size(los) - 1), (v, i) -> struct(
-                pos + {min_words} * i as x, p_pos as y, least({min_words} - 1, run - 1 - {min_words} * i) as ahead,
-                v as x_lo, p_lo as y_lo))
-            else array(struct(pos as x, p_pos as y, run - 1 as ahead, lo as x_lo, p_lo as y_lo)) end,
-            array(struct(pos + run - 1 as x, p_pos + p_run - 1 as y, 0 as ahead, {last("")} as x_lo,
-                         {last("p_")} as y_lo))) end""")
+                pos + {each("")} * step * i as x, p_pos as y,
+                step * least({each("")} - 1, run - 1 - {each("")} * i) as ahead, v as x_lo, p_lo as y_lo,
+                {end("", "p_", "i")} as x_hi, p_hi as y_hi))
+            else array(struct(pos as x, p_pos as y, step * (run - 1) as ahead, lo as x_lo, p_lo as y_lo,
+                              hi as x_hi, {end("p_", "", "0")} as y_hi)) end,
+            array(struct(pos + step * (run - 1) as x, p_pos + p_step * (p_run - 1) as y, 0 as ahead,
+                         {last("")} as x_lo, {last("p_")} as y_lo, hi as x_hi, p_hi as y_hi))) end""")
     return (met.select("doc_id", "version", F.col("p_doc_id").alias("partner_id"),
-                       F.col("p_version").alias("partner_version"), F.col("hi").alias("x_hi"),
-                       F.col("p_hi").alias("y_hi"), F.explode(pairs).alias("a"))
+                       F.col("p_version").alias("partner_version"), F.explode(pairs).alias("a"))
             .groupBy("version", "partner_version", F.col("a.x").alias("x"), F.col("a.y").alias("y"))
             .agg(F.min("doc_id").alias("doc_id"), F.min("partner_id").alias("partner_id"),
-                 F.min("a.x_lo").alias("x_lo"), F.max("x_hi").alias("x_hi"),
-                 F.min("a.y_lo").alias("y_lo"), F.max("y_hi").alias("y_hi"), F.max("a.ahead").alias("ahead")))
+                 F.min("a.x_lo").alias("x_lo"), F.max("a.x_hi").alias("x_hi"),
+                 F.min("a.y_lo").alias("y_lo"), F.max("a.y_hi").alias("y_hi"), F.max("a.ahead").alias("ahead")))
 
 
-def matches(found: DataFrame, min_words: int) -> DataFrame:
+def matches(found: DataFrame, min_words: int, reach: int = 96) -> DataFrame:
     """Anchors of every run of places of a shared seed with its first run in the
     lowest class that has the seed."""
-    return anchors(lowest(found.filter("run > 0").select("seed", *PLACE), "seed", PLACE), min_words)
+    return anchors(lowest(found.filter("run > 0").select("seed", *PLACE), "seed", PLACE), min_words, reach)
 
 
 def chain(x: np.ndarray, y: np.ndarray, k: int, gap: float) -> list[np.ndarray]:
@@ -475,16 +513,19 @@ def parts(p: np.ndarray, q: np.ndarray, min_words: int, identity: float) -> list
     return out
 
 
-def stretch(a: np.ndarray, p: np.ndarray, min_words: int) -> np.ndarray:
+def stretch(a: np.ndarray, p: np.ndarray, min_words: int, most: int = 1) -> np.ndarray:
     """``p``, the aligned places of ``a``: where they lie a little too close for a
-    passage and the outer word is repeated outside, its place is one of those (of
-    a run of places only the ends are matched, so others are found so)."""
+    passage and the outer words, at most ``most``, are repeated outside, the outer
+    place is one of those (of a run of places only the ends are matched, so others
+    are found so)."""
     g = min_words - (int(p[-1]) - int(p[0]) + 1)
     s, e = int(p[0]), int(p[-1])
-    if g > 0 and s >= g and (a[s - g:s] == a[s]).all():
-        return np.r_[s - g, p[1:]]
-    if g > 0 and e + g < len(a) and (a[e:e + g + 1] == a[e]).all():
-        return np.r_[p[:-1], e + g]
+    for step in range(1, most + 1) if g > 0 else ():
+        far = -(-g // step) * step
+        if s >= far and s + step <= len(a) and (a[s - far:s] == a[s - far + step:s + step]).all():
+            return np.r_[s - far, p[1:]]
+        if e + far < len(a) and e + 1 >= step and (a[e + 1:e + far + 1] == a[e + 1 - step:e + far + 1 - step]).all():
+            return np.r_[p[:-1], e + far]
     return p
 
 
@@ -598,7 +639,7 @@ def _compare(batches, key, k, reach, min_words, identity):
             rest.append(places - max(0, int(places[0]) - reach) + first[i])
         for (words, _, xs, _, i, (base_a, base_b)), (p, q) in zip(items, align([t[:4] for t in items], k)):
             if len(p) >= need:
-                p = stretch(words, p, min_words)
+                p = stretch(words, p, min_words, k)
             alone = np.ones(len(xs), bool)
             for lo, hi in parts(p, q, min_words, identity):
                 s, e, t, f = int(p[lo]), int(p[hi - 1]) + 1, int(q[lo]), int(q[hi - 1]) + 1
@@ -631,25 +672,30 @@ def _cut(docs: DataFrame, requests: DataFrame, id_col: str, text_col: str) -> Da
             .select(*[c for c in requests.columns if c not in ("__id", "__version", "lo", "hi")], piece.alias("piece")))
 
 
-def _by_pairs(found: DataFrame, left: DataFrame, min_words: int) -> DataFrame:
+def _by_pairs(found: DataFrame, left: DataFrame, min_words: int, reach: int) -> DataFrame:
     """Anchors of the places of the seeds ``left``, matched once more: by pairs of
     them at most ``min_words`` words apart, each with the lowest class that has
-    both: at most ``min_words`` pairs a place. Where every seed of an edited passage stands in a lower text too, those
-    texts seldom have two of them together."""
+    both. Of a run its first two places have pairs, and its first and last: those
+    between have the same ones. Where every seed of an edited passage stands in a lower text too,
+    those texts seldom have two of them together."""
     # the lowest class was compared with all others: seeds of three texts at least
     wanted = materialize(found.filter("run > 0").select("seed", "version")
                          .join(left.hint("merge"), "seed").distinct()
                          .groupBy("seed").agg(F.count("*").alias("texts")).filter("texts > 2").select("seed"))
     places = (found.filter("run > 0").select("seed", *PLACE).join(wanted.hint("merge"), "seed")
-              .groupBy("version", "pos").agg(F.min(F.struct("doc_id", "lo", "hi", "run", "los", "seed")).alias("p"))
+              .groupBy("version", "pos").agg(F.min(F.struct("doc_id", "lo", "hi", "run", "step", "los", "seed")).alias("p"))
               .select("version", "pos", "p.*"))
-    after = Window.partitionBy("version").orderBy(F.col("pos").cast("long")).rangeBetween(1, min_words)
-    near = places.withColumn("place", F.struct(*PLACE)).withColumn("next", F.collect_list(F.struct("seed", "place")).over(after))
-    both = (near.select("seed", "place", F.explode("next").alias("n"))
+    outer = F.expr("""explode(array_distinct(array(
+        struct(0 as kind, bigint(pos) as at), struct(0 as kind, bigint(pos + step * least(1, run - 1)) as at),
+        struct(1 as kind, bigint(pos) as at), struct(1 as kind, bigint(pos + step * (run - 1)) as at)))) as end""")
+    after = Window.partitionBy("version", "end.kind").orderBy("end.at").rangeBetween(1, min_words)
+    near = (places.select("version", "seed", F.struct(*PLACE).alias("place"), outer)
+            .withColumn("next", F.collect_list(F.struct("seed", "place")).over(after)))
+    both = (near.select("seed", "place", "end.kind", F.explode("next").alias("n"))
             .select(F.explode(F.array(*[
-                F.struct(F.xxhash64("seed", "n.seed", F.lit(i)).alias("pair"), F.col(c).alias("place"))
+                F.struct(F.xxhash64("seed", "n.seed", "kind", F.lit(i)).alias("pair"), F.col(c).alias("place"))
                 for i, c in enumerate(("place", "n.place"))])).alias("r")).select("r.pair", "r.place.*"))
-    return anchors(lowest(materialize(both), "pair", PLACE), min_words)
+    return anchors(lowest(materialize(both), "pair", PLACE), min_words, reach)
 
 
 def _aligned(met: DataFrame, docs: DataFrame, k: int, gap: float, reach: int, min_words: int, identity: float,
@@ -671,14 +717,16 @@ def _aligned(met: DataFrame, docs: DataFrame, k: int, gap: float, reach: int, mi
 
 def _exact_rest(docs: DataFrame, found: DataFrame, left: DataFrame, k: int, reach: int, min_words: int,
                 id_col: str, text_col: str) -> DataFrame:
-    """Exact repeats around all occurrences of the seeds ``left``."""
+    """Exact repeats around all occurrences of the seeds ``left``. Of the windows
+    inside a run of places only those of its first step are needed, others repeat
+    them; one in ``min_words`` words is kept, so that all its words are covered."""
     span = min_words - k                             # a window starts at most so many words before the seed
     # written and joined by sorting, as in ``lowest``: a seed may be in most texts
-    places = (found.filter("sparse").join(left.hint("merge"), "seed")
+    places = (found.filter("sparse and run > 0").join(left.hint("merge"), "seed")
               .groupBy("version", "pos").agg(F.min("doc_id").alias("doc_id"), F.min("lo").alias("lo"),
-                                             F.max("hi").alias("hi")))
+                                             F.max("hi").alias("hi"), F.max("run").alias("run"), F.max("step").alias("step")))
     cut = _cut(docs, places.select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), "lo", "hi",
-                                   "doc_id", "version", "pos"), id_col, text_col)
+                                   "doc_id", "version", "pos", "run", "step"), id_col, text_col)
 
     def run(batches):
         for b in batches:
@@ -688,7 +736,12 @@ def _exact_rest(docs: DataFrame, found: DataFrame, left: DataFrame, k: int, reac
                 base = np.maximum(pos - reach, 0)
                 g, at, doc = W.kgrams_wide(h, first, min_words)
                 start = at - first[doc] + base[doc]
-                keep = (start >= pos[doc] - span) & (start <= pos[doc])
+                step = rows.column("step").to_numpy().astype(np.int64)
+                last = pos + step * (rows.column("run").to_numpy() - 1)
+                after = start - pos[doc]
+                keep = (after >= -span) & (start <= last[doc])
+                each = step * np.maximum(min_words // step, 1)
+                keep &= (after < step[doc]) | (start >= last[doc] - span) | (after % each[doc] == 0)
                 take = pa.array(doc[keep])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(g[keep].view(np.int64)), rows.column("version").take(take),
@@ -717,10 +770,12 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, identity: float = 0.
         raise ValueError("k + w - 1 must not exceed min_words, nor min_words reach, or passages could be missed")
     found = materialize(seeds(docs, k, w, reach, min_words, id_col, text_col))
     how = (docs, k, gap, reach, min_words, identity, id_col, text_col)
-    aligned = _aligned(matches(found, min_words), *how)
+    aligned = _aligned(matches(found, min_words, reach), *how)
     passages = aligned.filter("seed is null")
-    left = materialize(aligned.filter("seed is not null").select("seed").distinct())
-    others = _aligned(_by_pairs(found, left, min_words), *how).filter("seed is null")
+    # of runs only the ends were matched, so what surrounds them is looked for again
+    left = materialize(aligned.filter("seed is not null").select("seed")
+                       .unionByName(found.filter("run > 1").select("seed")).distinct())
+    others = _aligned(_by_pairs(found, left, min_words, reach), *how).filter("seed is null")
     # two chains of one pair may grow to the same passage
     passages = passages.select(*RESULT).unionByName(others.select(*RESULT)).distinct()
     rest = _exact_rest(docs, found, left, k, reach, min_words, id_col, text_col)

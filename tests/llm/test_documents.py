@@ -508,3 +508,58 @@ def test_one_word_again_and_again_is_matched_by_its_runs(spark):
     rows = [(i, f"{prose(r, 30, 10**6)} {'one ' * n}{'two ' * n}{prose(r, 30, 10**6)}") for i, n in enumerate([61, 21])]
     assert len(substrings.repeated_passages(frame(spark, rows)).collect()) == len(
         substrings.repeated_passages(frame(spark, [(-i, t) for i, t in rows])).collect())
+
+
+def test_progressions_of_seeds():
+    """Against a plain search: places of one seed at equal steps of at most 6."""
+    r = np.random.default_rng(23)
+    for _ in range(200):
+        n = int(r.integers(0, 40))
+        doc = np.sort(r.integers(0, 3, n))
+        at = np.cumsum(r.integers(1, 4, n))
+        g = r.integers(0, 3, n)
+        run, step, last = substrings.progressions(g, at, doc, 6)
+        seen = []
+        for i in np.flatnonzero(run).tolist():
+            places = (at[i] + step[i] * np.arange(run[i])).tolist()
+            own = [int(np.searchsorted(at, p)) for p in places]
+            assert [int(at[j]) for j in own] == places and last[i] == own[-1]
+            assert all(g[j] == g[i] and doc[j] == doc[i] for j in own) and 1 <= step[i] <= 6
+            seen += own
+        assert sorted(seen) == list(range(n))
+        for d in set(doc.tolist()):
+            for s in set(g.tolist()):
+                places = at[(doc == d) & (g == s)].tolist()
+                if len(places) > 2 and len(set(np.diff(places))) == 1 and places[1] - places[0] <= 6:
+                    assert run[np.searchsorted(at, places[0])] == len(places)
+
+
+def test_few_words_again_and_again_are_matched_by_their_runs(spark):
+    """Two to six words repeated hundreds of times give a few rows for a text, not
+    one for each place; all their words are covered and every text is linked."""
+    r = random.Random(24)
+    for words in (2, 3, 6):
+        line = prose(r, words, 10**6) + " "
+        lens = [400, 90, 300, 61, 200, 500, 12]
+        rows = [(i, f"{prose(r, 30, 10**6)} {line * (n // words)}{prose(r, 30, 10**6)}") for i, n in enumerate(lens)]
+        # a word before the line shared by two texts that are not the lowest
+        rows += [(20 + i, f"{prose(r, 20 + i, 10**6)} before {line * (100 // words)}{prose(r, 20, 10**6)}") for i in range(2)]
+        found = substrings.materialize(substrings.seeds(frame(spark, rows), 6, 10, 96, 50))
+        met = substrings.materialize(substrings.matches(found, 50))
+        assert found.filter("pos >= 0").count() > 1500 // words and met.count() < 150
+        assert substrings.chains(met, 6, 0.15).count() < 60
+        left = found.filter("run > 1").select("seed").distinct()
+        assert substrings._by_pairs(found, left, 50, 96).count() < 200
+        got = substrings.repeated_passages(frame(spark, rows)).collect()
+        assert len(got) < 200
+        covered = collections.defaultdict(set)
+        for x in got:
+            assert x.identity >= 0.8
+            covered[x.doc_id].update(range(x.start_word, x.end_word))
+            covered[x.partner_id].update(range(x.partner_start, x.partner_end))
+        repeated = set(line.split())
+        assert set(covered) == {0, 1, 2, 3, 4, 5, 20, 21}
+        for i, t in rows:
+            if i in covered:
+                assert {j for j, w in enumerate(t.split()) if w in repeated or w == "before"} <= covered[i]
+        assert any({x.doc_id, x.partner_id} == {20, 21} for x in got)
