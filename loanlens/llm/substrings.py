@@ -22,7 +22,7 @@
    longer side in common, are returned.
 5. The rest, exactly: where a chain comes out too short, the lowest class may
    hold only part of what the document shares with others. For the seeds of
-   chains that lie in no passage, every occurrence gives the ``min_words``-word windows around
+   chains that lie in no passage, and of runs, every occurrence gives the ``min_words``-word windows around
    it; windows that occur in more than one class are matched with the lowest
    class that has them, and neighbouring ones merged. So every exact repeat of
    ``min_words`` words between different texts is found in 4 or here; of these
